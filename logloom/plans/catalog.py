@@ -24,6 +24,7 @@ from logloom.operators import synopsis as syn
 from logloom.operators import timeline as tl
 from logloom.plans import report as rep
 from logloom.plans.bindings import event_log_lines, read_table
+from logloom.plans.staging import stage
 from logloom.plans.event_store import INACTIVITY, EventStore, event_store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -556,9 +557,11 @@ def capability_notices(s):
 def log_lines_to_messages(events):
     """Events rendered as log lines, read back through the line normaliser."""
     from logloom.sources.format_a import normalize_a
+    from logloom.sources.variants import decode
 
-    m = normalize_a(event_log_lines(events)).messages
-    return m.groupBy("session_id").agg(
+    lines = stage(decode(stage(event_log_lines(events), "lines")), "decoded")
+    m = normalize_a(lines).messages
+    return m.groupBy(F.col("line_session_id").alias("session_id")).agg(
         F.count("*").alias("messages"), F.count_if("has_tool_result").alias("results"),
         F.count_if("has_usage").alias("with_usage"), F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
