@@ -6,16 +6,21 @@ of members is formed and the work is spread over all partitions in every round.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.vectors import cluster_id  # noqa: F401
 from logloom.plans.staging import stage
 
+# workers get this module's code with the job, so they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK = 2048
 ALGORITHM, VERSION = "cosine_threshold_greedy", "v1"
 STATE = "id string, vector array<double>, best double, leader string"

@@ -13,6 +13,7 @@ from logloom.functions.errors import (
     text_is_error,
 )
 from logloom.functions.text import non_blank, prompt_key, spaced_json, strip, uuid_tail
+from logloom.plans.staging import stage
 from logloom.schemas import BLOCK
 from logloom.sources import variants as js
 from logloom.sources.format_a import NO_BLOCKS, Normalized, file_stem, rejected_files, string_block
@@ -403,7 +404,8 @@ def normalize_b(lines: DataFrame, ecosystem: str = "format_b",
     flagged = events.withColumn("kept", F.col("mapped").isNotNull())
     errors = rejected_files(flagged)
     good = flagged.join(errors.select("source_path"), "source_path", "left_anti")
-    before = _to_messages(good.filter("kept"), ecosystem)
+    # written once: the dedupe, the counts and the caller all read the converted messages
+    before = stage(_to_messages(good.filter("kept"), ecosystem), "converted")
     after = dedupe_prompts(before, window_seconds)
     facts = file_facts(good)
     messages = after.join(facts.select("source_path", "meta_id"), "source_path", "left").withColumn(

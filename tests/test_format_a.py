@@ -9,6 +9,7 @@ from logloom.operators import attribution as attr
 from logloom.operators import session_stats as st
 from logloom.operators.pairing import pair_tools
 from logloom.plans.staging import stage
+from logloom.sources.variants import decode
 from logloom.schemas import explode_blocks
 from logloom.sources.format_a import normalize_a, scan_compacts
 
@@ -25,7 +26,7 @@ TOOLS = [
 
 
 def stats_of(spark, lines, **options):
-    done = normalize_a(stage(lines_frame(spark, {"/logs/proj/s1.jsonl": lines}), "t"))
+    done = normalize_a(stage(decode(lines_frame(spark, {"/logs/proj/s1.jsonl": lines})), "t"))
     messages = stage(done.messages, "m")
     blocks = explode_blocks(messages)
     row = st.session_statistics(messages, blocks, compacts=done.compacts, **options).first()

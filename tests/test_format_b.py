@@ -8,12 +8,13 @@ from logs import GOLDEN, GOLDEN_PATH, b, lines_frame
 from logloom.operators import session_stats as st
 from logloom.operators.pairing import pair_tools
 from logloom.plans.staging import stage
+from logloom.sources.variants import decode
 from logloom.schemas import explode_blocks
 from logloom.sources.format_b import drop_samples, normalize_b
 
 
 def normal(spark, files):
-    return normalize_b(stage(lines_frame(spark, files), "b"))
+    return normalize_b(stage(decode(lines_frame(spark, files)), "b"))
 
 
 def message(text, clock, role="user"):
@@ -50,7 +51,7 @@ def test_golden_file(spark):
 
 def test_samples_and_unknown_kinds(spark):
     lines = [*GOLDEN, b("mystery", {}), b("event_msg", {"type": "odd"})]
-    frame = stage(lines_frame(spark, {GOLDEN_PATH: lines}), "b")
+    frame = stage(decode(lines_frame(spark, {GOLDEN_PATH: lines})), "b")
     got = [(r.line_no, r.event_type, r.reason) for r in drop_samples(frame, 3).orderBy("line_no").collect()]
     assert got == [
         (8, "event_msg:turn_context", "policy_stored_not_used_yet"),
