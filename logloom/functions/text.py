@@ -19,11 +19,12 @@ SHELL_TOKENS = (
     r"""|&(?!&)|[^\\'"`|;&]++)++"""
 )
 
+# Plain character classes: a run of any length is matched in a loop, without recursion.
 CHAR_CLASSES = {
     "cjk": r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]+",
     "latin": r"[A-Za-z]+",
-    "digit": r"(?:[0-9]|[\p{N}&&[^\x00-\x7F]&&[^\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3040}-\x{30FF}]])+",
-    "space": r"(?:[\t-\r ]|[\p{IsWhite_Space}&&[^\x00-\x7F]])+",
+    "digit": r"[0-9[\p{N}&&[^\x00-\x7F\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3040}-\x{30FF}]]]+",
+    "space": r"[\t-\r [\p{IsWhite_Space}&&[^\x00-\x7F]]]+",
 }
 
 # Tool name (lower case) -> category.

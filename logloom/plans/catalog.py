@@ -24,7 +24,7 @@ from logloom.operators import synopsis as syn
 from logloom.operators import timeline as tl
 from logloom.plans import report as rep
 from logloom.plans.bindings import event_log_lines, read_table
-from logloom.plans.staging import stage
+from logloom.plans.staging import spread, stage
 from logloom.plans.event_store import INACTIVITY, EventStore, event_store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -559,7 +559,7 @@ def log_lines_to_messages(events):
     from logloom.sources.format_a import normalize_a
     from logloom.sources.variants import decode
 
-    lines = stage(decode(stage(event_log_lines(events), "lines")), "decoded")
+    lines = stage(decode(stage(event_log_lines(spread(events)), "lines")), "decoded")
     m = normalize_a(lines).messages
     return m.groupBy(F.col("line_session_id").alias("session_id")).agg(
         F.count("*").alias("messages"), F.count_if("has_tool_result").alias("results"),
@@ -573,7 +573,7 @@ def log_lines_to_messages(events):
 
 @on_table("documents")
 def document_characters(documents):
-    c = documents.select("lang", tx.char_classes(F.col("text")).alias("c"))
+    c = spread(documents).select("lang", tx.char_classes(F.col("text")).alias("c"))
     return c.groupBy("lang").agg(*[F.sum(f"c.{n}").alias(n) for n in
                                    ("total", "cjk", "latin", "digit", "space", "other")])
 
@@ -596,7 +596,7 @@ def document_error_rules(documents):
     from logloom.functions.errors import category_of_rule, error_rule
 
     rule = error_rule(F.col("text"))
-    return documents.groupBy(category_of_rule(rule).alias("category")).agg(
+    return spread(documents).groupBy(category_of_rule(rule).alias("category")).agg(
         F.count("*").alias("documents"))
 
 

@@ -16,7 +16,7 @@ from logloom.operators import sessions as ses
 from logloom.operators import session_stats as st
 from logloom.operators.pairing import pair_tools
 from logloom.plans.bindings import event_lineage, event_messages, read_table
-from logloom.plans.staging import stage
+from logloom.plans.staging import spread, stage
 from logloom.schemas import explode_blocks
 
 # Events of one user lie hours apart, so the thresholds are in hours too.
@@ -33,7 +33,7 @@ class EventStore:
 
     @cached_property
     def messages(self) -> DataFrame:
-        return event_messages(read_table(self.spark, self.folder, "events"))
+        return event_messages(spread(read_table(self.spark, self.folder, "events")))
 
     @cached_property
     def blocks(self) -> DataFrame:

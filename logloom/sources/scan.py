@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom.plans.staging import stage
+from logloom.plans.staging import spread, stage
 from logloom.sources.registry import LogFormat
 from logloom.sources.variants import decode
 
@@ -68,4 +68,4 @@ def scan_logs(spark: SparkSession, root: str | list[str], fmt: LogFormat,
     raw = read_raw(spark, root, fmt, modified_after)
     if only is not None:
         raw = raw.join(only.select(F.col("file_path").alias("source_path")), "source_path", "left_semi")
-    return number_lines(stage(decode(raw), "lines"))
+    return number_lines(stage(decode(spread(raw)), "lines"))
