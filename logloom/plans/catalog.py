@@ -25,6 +25,7 @@ from logloom.operators import timeline as tl
 from logloom.plans import report as rep
 from logloom.plans.bindings import event_log_lines, read_table
 from logloom.plans.staging import spread, stage
+from logloom.sources import export
 from logloom.plans.event_store import INACTIVITY, EventStore, event_store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -551,6 +552,36 @@ def capability_notices(s):
     return used.join(F.broadcast(notices), "ecosystem").drop("reason")
 
 
+@on_events()
+def export_metrics(s):
+    return export.metric_rows(s.stats)
+
+
+@on_events()
+def export_tools(s):
+    return export.tool_rows(s.tools).drop("avg_latency_seconds")
+
+
+@on_events()
+def export_tool_patterns(s):
+    tables = _exports(s)
+    return tables["tool_patterns"]
+
+
+@on_events()
+def export_bottlenecks(s):
+    return _exports(s)["bottlenecks"]
+
+
+def _exports(s):
+    found = deep.anomalies(deep.token_heatmap(s.messages), deep.tool_patterns(s.tools))
+    agents = deep.subagent_efficiency(_typed_agents(s))
+    return export.analytics_tables(
+        deep.expensive_operations(s.messages, s.blocks), deep.tool_patterns(s.tools),
+        deep.tool_parameters(s.blocks), agents, found,
+        deep.recommendations(s.stats, found, s.tools, agents), deep.token_heatmap(s.messages))
+
+
 # --- logs ------------------------------------------------------------------------------
 
 @on_table("events")

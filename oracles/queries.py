@@ -18,6 +18,18 @@ _SUMS = """total_messages total_tokens total_tool_calls total_input_tokens total
 tool_tokens cache_read_tokens cache_creation_tokens trajectory_file_size_bytes total_chars
 user_chars model_chars tool_chars cjk_chars latin_chars other_chars model_us tool_us user_us
 inactive_us model_timeout_count""".split()
+_EXPORTED = [
+    ("Total Messages", "message_count"), ("User Messages", "user_message_count"),
+    ("Assistant Messages", "assistant_message_count"), ("Total Tokens", "total_tokens"),
+    ("Input Tokens", "total_input_tokens"), ("Output Tokens", "total_output_tokens"),
+    ("Cache Read Tokens", "cache_read_tokens"), ("Cache Creation Tokens", "cache_creation_tokens"),
+    ("Total Tool Calls", "total_tool_calls"), ("Subagent Count", "subagent_count"),
+    ("Session Duration (seconds)", "duration_seconds"),
+    ("Model Time (seconds)", "round(model_us / 1e6, 2)"), ("Tool Time (seconds)", "round(tool_us / 1e6, 2)"),
+    ("User Time (seconds)", "round(user_us / 1e6, 2)"), ("Model Time %", "round(model_time_percent, 1)"),
+    ("Tool Time %", "round(tool_time_percent, 1)"), ("User Time %", "round(user_time_percent, 1)"),
+    ("Inactive Time (seconds)", "round(inactive_us / 1e6, 2)"),
+    ("Inactive Time %", "round(inactive_time_percent, 1)")]
 _FRESH_SUMS = """total_messages total_tokens total_tool_calls total_input_tokens
 total_output_tokens tool_error_count trajectory_file_size_bytes total_chars cjk_chars latin_chars
 model_us tool_us user_us inactive_us model_timeout_count""".split()
@@ -505,6 +517,22 @@ RAW = {
                    ('source_1', 'reasoning_tokens', 'info', 'Reasoning tokens'),
                    ('source_1', 'timestamp_inference', 'warning', 'Time-based metrics'))
         n(ecosystem, id, severity, label) USING (ecosystem)""",
+    "export_metrics": "SELECT session_id, metric, round(value, 6) AS value FROM (" + " UNION ALL ".join(
+        f"SELECT session_id, '{name}' AS metric, CAST(coalesce({expr}, 0) AS DOUBLE) AS value FROM stats"
+        for name, expr in _EXPORTED) + ")",
+    "export_tools": """
+      SELECT session_id, tool_name, tool_group, calls AS total_calls, total_tokens, success_count, error_count,
+        printf('%.2f', success_count / greatest(success_count + error_count, 1) * 100) AS success_rate
+      FROM tools""",
+    "export_tool_patterns": """
+      SELECT p.session_id, p.tool_name, calls AS total_calls, printf('%.2f', avg_tokens::DOUBLE) AS avg_tokens_per_call,
+        printf('%.2f', success_rate::DOUBLE * 100) AS success_rate,
+        CASE WHEN u.tool_name IS NULL THEN '' ELSE 'command' END AS parameters
+      FROM patterns p LEFT JOIN (SELECT DISTINCT session_id, tool_name FROM m WHERE is_call) u
+        ON p.session_id = u.session_id AND p.tool_name = u.tool_name""",
+    "export_bottlenecks": f"""
+      SELECT session_id, type, severity, description, component AS affected_component,
+        {r('coalesce(tokens_wasted, 0)', 'tokens_wasted')}, recommendation FROM anomalies""",
     "log_lines_to_messages": f"""
       SELECT session_id, count(*) AS messages, count(*) FILTER (is_result) AS results,
         count(*) FILTER (reply) AS with_usage, CAST(sum(tin) AS BIGINT) AS input_tokens,
