@@ -27,8 +27,11 @@ def iso_micros(text: Column) -> Column:
 
 def ntz_micros(ts: Column) -> Column:
     """Micros of a zone-less timestamp read as UTC, whatever the session zone."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"),
-                            ts.cast("timestamp_ntz"))
+    at = ts.cast("timestamp_ntz")
+    days = F.datediff(at.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    minutes = (F.hour(at) * 60 + F.minute(at)).cast("bigint")
+    micros = (F.date_part(F.lit("SECOND"), at) * SECOND).cast("bigint")
+    return days * F.lit(DAY) + minutes * F.lit(60 * SECOND) + micros
 
 
 def micros_date(us: Column) -> Column:

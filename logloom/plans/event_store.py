@@ -49,19 +49,24 @@ class EventStore:
 
         return with_gaps(self.messages, INACTIVITY, MODEL_TIMEOUT)
 
+    @cached_property
+    def paired(self) -> DataFrame:
+        """The pairs written once, for the tables built from them."""
+        return stage(self.pairs, "pairs")
+
     @cached_property
     def tools(self) -> DataFrame:
-        return stage(st.tool_stats(self.blocks, self.pairs), "tools")
+        return stage(st.tool_stats(self.blocks, self.paired), "tools")
 
     @cached_property
     def errors(self) -> DataFrame:
-        return stage(st.error_records(self.pairs), "errors")
+        return stage(st.error_records(self.paired), "errors")
 
     @cached_property
     def stats(self) -> DataFrame:
         return stage(st.session_statistics(
             self.messages, self.blocks, inactivity=INACTIVITY, model_timeout=MODEL_TIMEOUT,
-            pairs=self.pairs, tools=self.tools), "stats")
+            pairs=self.paired, tools=self.tools), "stats")
 
     @cached_property
     def sessions(self) -> DataFrame:

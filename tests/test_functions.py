@@ -139,3 +139,16 @@ def test_error_rules(spark):
     texts = ["Process exited with code 0\nerror", "state = done; error", "fatal: bad", "no errors", "plain", "outcome: odd error"]
     assert values(spark, texts, er.text_is_error) == [False, False, True, False, None, True]
     assert [er._text_verdict(t) for t in texts] == [False, False, True, False, None, True]
+
+
+def test_event_times_do_not_follow_the_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = values(spark, ["2024-07-01 12:00:00.25", "1969-12-31 23:59:59"],
+                         lambda c: dt.ntz_micros(c.cast("timestamp_ntz")))
+            assert got == [1719835200250000, -1000000]
+            assert values(spark, ["2026-07-05T10:00:00Z"], dt.iso_micros) == [1783245600000000]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
