@@ -23,7 +23,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 2048
 ALGORITHM, VERSION = "cosine_threshold_greedy", "v1"
-STATE = "id string, vector array<double>, best double, leader string"
 
 
 def completed_vectors(embeddings: DataFrame, model_id: str) -> DataFrame:

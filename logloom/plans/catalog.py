@@ -457,8 +457,6 @@ def recommendations(s):
 
 def _week_pairs(s):
     """Each user's session and the one of the following week."""
-    user = F.substring_index("session_id", "-", 1)
-    week = F.substring_index("session_id", "-", -1).cast("bigint")
     ids = s.sessions.select(F.col("session_id").alias("a"))
     return ids.select("a", F.concat(F.substring_index("a", "-", 1), F.lit("-"),
                                     (F.substring_index("a", "-", -1).cast("bigint") + 1)

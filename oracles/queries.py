@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from logloom.functions.errors import ERROR_RULES  # noqa: F401
 from oracles.ctes import category_sql, keep, ratio, rule_sql, with_ctes
 
 _DOUBLES = """model_time_percent tool_time_percent user_time_percent inactive_time_percent
