@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import exact_dedup, url_rules
+from logloom.llm import exact_dedup, simhash, url_rules
 from logloom.llm.shared import table
 
 #: (action, host, path) of the production rules.
@@ -22,9 +22,14 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op7_url_filter": op7_url_filter,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE_SQL = {
