@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import exact_dedup, packing, simhash, url_rules
+from logloom.llm import exact_dedup, packing, simhash, substring_dedup, url_rules
 from logloom.llm.shared import table
 
 #: (action, host, path) of the production rules.
@@ -15,6 +15,11 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
              ("allow", "org", "/fr/")]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35, with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_verdicts(table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_url_filter": op7_url_filter,
@@ -39,6 +45,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+            FROM documents),
+        places AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS pos FROM split),
+        windows AS (SELECT doc_id, pos, array_to_string(list_slice(words, pos, pos + 34), ' ') AS win FROM places),
+        repeats AS (SELECT doc_id, pos FROM windows QUALIFY count(*) OVER (PARTITION BY win) > 1),
+        gone AS (SELECT doc_id, list_distinct(flatten(list(range(pos, pos + 35)))) AS dropped FROM repeats GROUP BY doc_id),
+        kept AS (
+            SELECT doc_id, len(words) AS n_words,
+                   list_filter(words, lambda w, i: NOT list_contains(coalesce(dropped, []), i)) AS rest
+            FROM split LEFT JOIN gone USING (doc_id))
+        SELECT doc_id, n_words, n_words - len(rest) AS n_removed, sha256(array_to_string(rest, ' ')) AS kept_sha256
+        FROM kept
+    """,
     "op2_exact_dedup": r"""
         WITH rows AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm,
