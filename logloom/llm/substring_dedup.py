@@ -5,7 +5,8 @@ index. So windows are dealt by content: the anchor of a window is the smallest h
 `gram`-word runs, equal windows have equal anchors, and neighbouring windows mostly share one.
 A run of windows with one anchor is a segment (at most `SEGMENT_WINDOWS` windows).
 
-1. Anchors of all segments are counted; an anchor seen once cannot belong to a repeat.
+1. Anchors of all segments are counted; an anchor seen once cannot belong to a repeat. A
+   segment that may repeat a window of its own (some run of words recurs in it) counts twice.
 2. The texts of the remaining segments are cut out, with copies combined inside each task.
 3. Segments are grouped by anchor into shards of about `shard_words` words. Each shard builds a
    compressed FM-index (`fm_index`) and streams its segments against it by backward search;
@@ -53,11 +54,18 @@ SPAN_DDL = ("doc_id long, text_hash int, n_words long, n_removed long, kept_sha2
 
 
 def segments(words: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, first window, number of windows, anchor) of each segment of some texts."""
+    """(document, first window, number of windows, anchor, looping) of each segment of some texts.
+
+    A looping segment may hold one window twice.
+    """
     n = len(words.hashes)
+    nothing = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, bool))
     if n < window:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+        return nothing
     least = words.grams(gram)
+    loops = np.zeros(len(least), bool)
+    for step in range(1, SEGMENT_WINDOWS):
+        loops[:-step] |= least[:-step] == least[step:]
     width, reach = window - gram + 1, 1
     while reach < width:  # sliding minimum over `width` grams by doubling
         step = min(reach, width - reach)
@@ -65,7 +73,7 @@ def segments(words: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
         reach += step
     at = np.flatnonzero(words.left[:n - window + 1] >= window)
     if not len(at):
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+        return nothing
     value, doc = least[at], words.doc[at]
     new = np.ones(len(at), bool)
     new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
@@ -73,7 +81,7 @@ def segments(words: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
     nth = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
     first = np.flatnonzero(nth % SEGMENT_WINDOWS == 0)
     size = np.diff(np.append(first, len(at)))
-    return doc[first], words.within[at[first]], size, mix(value[first])
+    return doc[first], words.within[at[first]], size, mix(value[first]), np.logical_or.reduceat(loops[at], first)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +103,9 @@ def _values(column: pa.Array) -> list:
 def _anchor_rows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
-            doc, start, _, anchor = segments(Words(part.column(2)), window, gram)
+            doc, start, _, anchor, loops = segments(Words(part.column(2)), window, gram)
+            twice = np.repeat(np.arange(len(doc)), 1 + loops)
+            doc, start, anchor = doc[twice], start[twice], anchor[twice]
             rows = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(anchor.view(np.int64)), part.column(0).take(rows), part.column(1).take(rows),
@@ -110,7 +120,7 @@ def _cut(window: int, gram: int):
         seen: dict[tuple[int, bytes], int] = {}
         size = 0
         for part in _parts(batches):
-            doc, start, n_windows, anchor = segments(Words(part.column(3)), window, gram)
+            doc, start, n_windows, anchor, _ = segments(Words(part.column(3)), window, gram)
             wanted = part.column(2)
             wanted_doc = np.repeat(np.arange(part.num_rows), np.diff(wanted.offsets.to_numpy()))
             keys = wanted_doc << 32 | wanted.flatten().to_numpy()
