@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from logloom.llm import exact_dedup, packing, simhash, substring_dedup, url_rules
-from logloom.llm.shared import table
+from pyspark.sql import functions as F
+
+from logloom.llm import (
+    decontamination,
+    exact_dedup,
+    packing,
+    quality,
+    simhash,
+    substring_dedup,
+    url_rules,
+)
+from logloom.llm.shared import crc_mod, table
 
 #: (action, host, path) of the production rules.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
@@ -24,6 +33,17 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_verdicts(table(spark, sf_dir, "documents"))
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """Learned from documents and labels whose crc32(doc_id) mod 4 is not 2."""
+    return quality.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality",
+                         usable=lambda doc_id: crc_mod(doc_id, 4) != 2)
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score_texts(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -32,6 +52,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,8 +63,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_url_filter": op7_url_filter,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
