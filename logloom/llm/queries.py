@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from logloom.llm import (
     decontamination,
     exact_dedup,
+    language_id,
     packing,
     quality,
     simhash,
@@ -48,6 +49,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs, usable=lambda doc_id: crc_mod(doc_id, 5) != 0)
+    return language_id.identify(docs, model).select(
+        "doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
 
@@ -65,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_language_id": op6_language_id,
     "op7_url_filter": op7_url_filter,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
