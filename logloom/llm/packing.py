@@ -10,9 +10,8 @@ Packing runs in two levels. Every task packs its own rows and hands on the piece
 sequences that are still open at its end; these few are dealt to tasks of about `level_tokens`
 tokens, which pack them again and close everything. No task sees all pieces.
 
-Token ids come from a `tokenizers` file. Byte-level BPE never merges over the start of a word,
-so the ids of space-led words are looked up in a bounded cache and only new words are encoded;
-texts whose spaces are followed by further blanks are encoded whole.
+Token ids come from the model of a `tokenizers` file. Byte-level BPE never merges over the start
+of a pre-token, so each word is encoded once and then looked up in a bounded cache.
 
 Defined results: a null text is empty, and every document ends with id `end_id`, so an empty
 one is a piece of length 1; ids may be null or repeated, each row is packed; an empty table
@@ -21,8 +20,6 @@ gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -33,11 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.pretokens import PATTERN, cut_text, of_plain
 from logloom.plans.staging import stage
 
-#: A space after which a word does not start at once: such texts take the plain path.
-ODD_SPACE = re.compile(r" (?:\s|$)")
-#: Words kept in a worker's cache; it is emptied when full.
+#: Words kept in a worker's caches; they are emptied when full.
 CACHE_WORDS = 1_000_000
 DOCS_AT_ONCE = 256
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
@@ -47,46 +43,64 @@ PIECE_DDL = ("doc_id long, piece int, start long, length long, ids_crc32 long, s
              " ids binary")
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: visible Latin-1 letters
+    stand for themselves, the other bytes follow from U+0100 on in order."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return [chr(b) if b in seen else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class TokenIds:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+    """Ids of texts as little-endian unsigned 32-bit integers.
+
+    The vocabulary is a byte-level BPE whose pre-tokens are taken with an optional leading space.
+    Pre-tokens are encoded by the tokenizer's model once and kept; so are whole words with their signs.
+    """
 
     _shared: dict[str, TokenIds] = {}
 
     def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.led: dict[str, bytes] = {}
+        self.model = Tokenizer.from_file(path).model
+        self.letters = dict(enumerate(byte_letters()))
+        self.words: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> TokenIds:
-        """One per worker process, so that the cache serves all tasks of a worker."""
+        """One per worker process, so that the caches serve all tasks of a worker."""
         if path not in cls._shared:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.led) > CACHE_WORDS:
-            self.led.clear()
-        whole = [i for i, t in enumerate(texts) if ODD_SPACE.search(t)]
-        odd = set(whole)
-        parts = [[] if i in odd else t.split(" ") for i, t in enumerate(texts)]
-        led, new = self.led, set()
-        for words in parts:
-            new.update(w for w in words[1:] if w not in led)
-        new = list(new)
-        led.update(zip(new, self.encode([" " + w for w in new])))
-        heads = self.encode([words[0] if words else "" for words in parts])
-        out = [head + b"".join([led[w] for w in words[1:]]) for head, words in zip(heads, parts)]
-        for i, ids in zip(whole, self.encode([texts[i] for i in whole])):
-            out[i] = ids
-        return out
+    def token(self, text: str) -> bytes:
+        """Ids of one pre-token."""
+        if (ids := self.tokens.get(text)) is None:
+            letters = text.encode().decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+            self.tokens[text] = ids
+        return ids
+
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.token, PATTERN.findall(text)))
+
+    def word(self, word: str) -> bytes:
+        ids = self.words[word] = b"".join(map(self.token, of_plain(word)))
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        for cache in (self.words, self.tokens):
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+        head, words, plain = cut_text(text)
+        if not plain:
+            return self.plain(head) + b"".join([self.plain(" " + w) for w in words])
+        found = list(map(self.words.get, words))
+        if None in found:
+            found = [self.word(w) if ids is None else ids for w, ids in zip(words, found)]
+        return self.plain(head) + b"".join(found)
 
 
 class Packer:
@@ -191,9 +205,8 @@ def _first_level(path: str, end_id: int, capacity: int, open_bins: int, look_ahe
             for batch in batches:
                 for at in range(0, batch.num_rows, DOCS_AT_ONCE):
                     part = batch.slice(at, DOCS_AT_ONCE)
-                    texts = [t or "" for t in part.column(1).to_pylist()]
-                    for doc_id, ids in zip(part.column(0).to_pylist(), token_ids.batch(texts)):
-                        ids += end
+                    for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                        ids = token_ids.encode(text or "") + end
                         for n, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                             own = ids[4 * start:4 * (start + length)]
                             yield doc_id, n, start, length, zlib.crc32(own), own if with_ids else None
