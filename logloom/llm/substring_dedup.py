@@ -162,17 +162,29 @@ def _search(window: int, shard_words: int):
     """Rows (anchor, i, j, words, n) sorted by item to the repeated runs of their segments."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: dict[tuple[int, bytes], int] = {}
-        held, item = 0, None
+        held: dict[bytes, int] = {}
+        words, item = 0, None
+
+        def close() -> None:
+            """A segment that is in several items of a shard is still the same few places."""
+            for own, n in held.items():
+                shard[item[0], own] = max(shard.get((item[0], own), 0), n)
+            held.clear()
+
         for batch in batches:
             for h, i, j, own, n in zip(*(c.to_pylist() for c in batch.columns)):
-                if (h, i, j) != item and held >= shard_words:
-                    yield _shard_runs(shard, window)
-                    shard, held = {}, 0
+                if item is not None and (h, i, j) != item:
+                    close()
+                    if words >= shard_words:
+                        yield _shard_runs(shard, window)
+                        shard.clear()
+                        words = 0
                 item = (h, i, j)
-                if (h, own) not in shard:
-                    held += 2 * window
-                shard[h, own] = shard.get((h, own), 0) + n
-        if shard:
+                if own not in held:
+                    words += 2 * window
+                held[own] = held.get(own, 0) + n
+        if item is not None:
+            close()
             yield _shard_runs(shard, window)
 
     return run
