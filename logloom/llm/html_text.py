@@ -325,6 +325,7 @@ def render(element: Element, out: Layout, visible: bool = True, pre: bool = Fals
                 if text_starts and child.children[0].startswith("\n"):
                     child.children[0] = child.children[0][1:]
             render(child, out, shows, pre or tag == "pre")
+            out.end_line()
             out.indent = before
             (out.set_off if set_off else out.end_line)()
         else:
