@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logloom.functions.dates import SECOND, iso_micros
 from logloom.functions.errors import (
     json_is_error,
+    structured_is_error,
     status_is_error,
     status_is_pending,
     text_is_error,
@@ -170,16 +171,18 @@ def _mapping() -> Column:
 def _results(rows: DataFrame) -> DataFrame:
     """Add verdict and bounded output of results and searches.
 
-    Only rows that carry structured output reach the recursive check; the others are
-    decided by built-in expressions and pass a null.
+    Codes, flags and status words of structured output are read by built-in expressions; only
+    output that these leave open is walked in Python, all else passes a null.
     """
     p, sub, mapped = F.col("p"), F.col("sub"), F.col("mapped")
     text = F.when(mapped == "result", js.string(p, "$.output"))
     inner = F.when(mapped == "result", F.coalesce(
         _embedded_json(text), F.when(text.isNull(), js.get(p, "$.output"))))
     rows = rows.withColumns({"_text": text, "_inner": inner})
-    nested = F.when(mapped == "result", F.to_json("_inner")).when(mapped == "search", F.to_json("p"))
-    rows = rows.withColumn("_nested", json_is_error(nested))
+    holder = F.when(mapped == "result", F.col("_inner")).when(mapped == "search", p)
+    rows = rows.withColumn("_flat", structured_is_error(holder))
+    rows = rows.withColumn("_nested", F.coalesce("_flat", json_is_error(
+        F.when(F.col("_flat").isNull(), F.to_json(holder)))))
 
     status = F.coalesce(*[non_blank(js.string(p, k)) for k in SEARCH_STATUS])
     search_error = F.when(status_is_pending(status), F.lit(None).cast("boolean")).otherwise(

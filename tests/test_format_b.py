@@ -3,7 +3,7 @@
 import json
 import random
 
-from logs import GOLDEN, GOLDEN_PATH, b, lines_frame
+from logs import ROLLOUT, ROLLOUT_ID, ROLLOUT_PATH, b, lines_frame
 
 from logloom.operators import session_stats as st
 from logloom.operators.pairing import pair_tools
@@ -26,36 +26,34 @@ def prompt(text, clock):
     return b("event_msg", {"type": "user_message", "message": text}, clock)
 
 
-def test_golden_file(spark):
-    done = normal(spark, {GOLDEN_PATH: GOLDEN})
+def test_short_session(spark):
+    done = normal(spark, {ROLLOUT_PATH: ROLLOUT})
     messages = stage(done.messages, "m")
     rows = messages.orderBy("line_no").collect()
     assert len(rows) == 7
     assert [r.record_type for r in rows].count("user") == 3
-    assert {r.session_id for r in rows} == {"aaaaaaaa-aaaa-aaaa-aaaa-aaaaaaaaaaaa"}
+    assert {r.session_id for r in rows} == {ROLLOUT_ID}
     spent = [r for r in rows if r.has_usage]
-    assert [(r.input_tokens, r.output_tokens, r.cache_read_tokens) for r in spent] == [(42, 17, 5)]
+    assert [(r.input_tokens, r.output_tokens, r.cache_read_tokens) for r in spent] == [(310, 64, 128)]
     counts = {(r.section, r.key): r["count"] for r in done.diagnostics.collect()}
     assert counts[("messages_before_dedupe", "all")] == 8
     assert counts[("messages_after_dedupe", "all")] == 7
     assert counts[("policy_dropped", "event_msg:turn_context")] == 1
     assert counts[("policy_dropped", "response_item:reasoning")] == 1
-    blocks = explode_blocks(messages)
-    pair = pair_tools(blocks).first()
-    assert pair.matched and pair.name == "Read" and pair.is_error is False
+    pair = pair_tools(explode_blocks(messages)).first()
+    assert pair.matched and pair.name == "Grep" and pair.is_error is False
     meta = st.session_metadata(messages).first()
-    assert (meta.project_path, meta.version) == ("/tmp/x", "0.1")
-    first = rows[0]
-    assert first.blocks[0].text == "session_meta source=cli"
+    assert (meta.project_path, meta.version) == ("/srv/shop", "2.4")
+    assert rows[0].blocks[0].text == "session_meta source=exec"
 
 
 def test_samples_and_unknown_kinds(spark):
-    lines = [*GOLDEN, b("mystery", {}), b("event_msg", {"type": "odd"})]
-    frame = stage(decode(lines_frame(spark, {GOLDEN_PATH: lines})), "b")
+    lines = [*ROLLOUT, b("mystery", {}), b("event_msg", {"type": "odd"})]
+    frame = stage(decode(lines_frame(spark, {ROLLOUT_PATH: lines})), "b")
     got = [(r.line_no, r.event_type, r.reason) for r in drop_samples(frame, 3).orderBy("line_no").collect()]
     assert got == [
-        (8, "event_msg:turn_context", "policy_stored_not_used_yet"),
-        (10, "response_item:reasoning", "policy_stored_not_used_yet"),
+        (2, "event_msg:turn_context", "policy_stored_not_used_yet"),
+        (5, "response_item:reasoning", "policy_stored_not_used_yet"),
         (11, "mystery", "adapter_to_canonical_returned_none")]
     counts = {(r.section, r.key): r["count"] for r in normalize_b(frame).diagnostics.collect()}
     assert counts[("dropped", "mystery")] == 1 and counts[("unmapped", "event_msg:odd")] == 1

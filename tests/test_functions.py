@@ -1,5 +1,6 @@
 """Column functions against independent Python forms."""
 
+import json
 import random
 
 import pytest
@@ -138,7 +139,7 @@ def test_error_rules(spark):
     assert values(spark, words, er.status_is_error) == [True, False, False, True, None, None]
     texts = ["Process exited with code 0\nerror", "state = done; error", "fatal: bad", "no errors", "plain", "outcome: odd error"]
     assert values(spark, texts, er.text_is_error) == [False, False, True, False, None, True]
-    assert [er._text_verdict(t) for t in texts] == [False, False, True, False, None, True]
+    assert [er.json_verdict(json.dumps(t)) for t in texts] == [False, False, True, False, None, True]
 
 
 def test_event_times_do_not_follow_the_session_zone(spark):
@@ -152,3 +153,23 @@ def test_event_times_do_not_follow_the_session_zone(spark):
             assert values(spark, ["2026-07-05T10:00:00Z"], dt.iso_micros) == [1783245600000000]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_structured_errors_by_columns_and_walk(spark):
+    """Built-in expressions decide codes, flags and words; the walk decides the rest."""
+    cases = [
+        ('{"exit_code": 2, "ok": true}', True), ('{"exitCode": 0, "error": "fatal"}', False),
+        ('{"status_code": " 404 "}', True), ('{"http_status": 200, "failed": true}', False),
+        ('{"status_code": true, "failed": true}', False), ('{"failed": false}', False),
+        ('{"failed": false, "x": {"exit_code": 1}}', True), ('{"error": "all well, 0 errors"}', False),
+        ('{"error": "no errors"}', False), ('{"success": false}', True), ('{"state": "in-progress"}', False),
+        ('{"outcome": "refused-timeout"}', True), ('{"message": {"exit_code": 1}, "status": "?"}', True),
+        ('{"traceback": ["x"]}', True), ('{"detail": ["x"]}', None), ('[{"ok": true}, {"ok": false}]', True),
+        ('[{"ok": true}, 3]', False), ('{"a": [[["fatal"]]]}', True), ('"fatal"', True), ('7', None), ('[]', None)]
+    df = spark.createDataFrame(cases, "t string, want boolean")
+    flat = er.structured_is_error(F.parse_json("t"))
+    got = df.select("t", "want", flat.alias("flat"),
+                    F.coalesce(flat, er.json_is_error(F.when(flat.isNull(), F.col("t")))).alias("got")).collect()
+    assert [(r.t, r.got) for r in got] == cases
+    assert sum(r.flat is not None for r in got) == 10
+    assert er.json_verdict("{") is None and er.json_verdict(None) is None

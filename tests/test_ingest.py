@@ -3,7 +3,7 @@
 import json
 import os
 
-from logs import GOLDEN, a, result, usage, use
+from logs import ROLLOUT, ROLLOUT_ID, a, result, usage, use
 from pyspark.sql import functions as F
 
 from logloom.operators import session_stats as st
@@ -55,7 +55,7 @@ def test_incremental_ingest(spark, tmp_path):
     write(root / "bad.jsonl", ["{oops"])
     write(root / "empty.jsonl", ["[]"])
     b_root = tmp_path / "b"
-    write(b_root / "rollout-2026-aaaaaaaa-aaaa-aaaa-aaaa-aaaaaaaaaaaa.jsonl", GOLDEN)
+    write(b_root / f"rollout-2026-{ROLLOUT_ID}.jsonl", ROLLOUT)
     roots = {"format_a": str(root), "format_b": str(b_root)}
     assert format_names() == ["format_a", "format_b"]
     assert list_files(spark, str(root), log_format("format_a")).count() == 4
@@ -64,11 +64,11 @@ def test_incremental_ingest(spark, tmp_path):
     first = ingest(spark, roots, store, parsed_at="t1")
     assert (first.parsed, first.skipped, first.errors) == (3, 0, 2)
     rows = {r.session_id: r for r in store.read("sessions").collect()}
-    assert set(rows) == {"s1", "s2", "aaaaaaaa-aaaa-aaaa-aaaa-aaaaaaaaaaaa"}
+    assert set(rows) == {"s1", "s2", ROLLOUT_ID}
     assert rows["s1"].total_tool_calls == 1 and rows["s1"].project_path == str(root / "p")
     stats = {r.session_id: r for r in store.read("session_statistics").collect()}
     assert stats["s1"].trajectory_file_size_bytes == os.path.getsize(root / "p" / "s1.jsonl")
-    assert stats["aaaaaaaa-aaaa-aaaa-aaaa-aaaaaaaaaaaa"].trajectory_file_size_bytes == 0
+    assert stats[ROLLOUT_ID].trajectory_file_size_bytes == 0
     assert store.read("tool_errors").first().category == "file_not_found"
     reasons = {os.path.basename(r.file_path): r.reason for r in store.read("ingest_errors").collect()}
     assert reasons == {"bad.jsonl": "invalid JSON", "empty.jsonl": "no valid messages"}
