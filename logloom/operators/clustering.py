@@ -141,42 +141,6 @@ def cluster_sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("leader").agg(F.count("*").alias("members"))
 
 
-def greedy_clusters(vectors: DataFrame, group: list[str], threshold: float = 0.92,
-                    max_group: int = 5000) -> DataFrame:
-    """Threshold clusters against moving centroids, in id order, inside each group.
-
-    The rule is sequential, so a group is one task's work and its size is checked first;
-    a larger group is refused and belongs to `leader_clusters`.
-    """
-    sizes = vectors.groupBy(*group).agg(F.count("*").alias("n"))
-    if sizes.filter(F.col("n") > max_group).limit(1).collect():
-        raise ValueError(f"a group has more than {max_group} vectors; use leader_clusters")
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-        rows = np.stack(pdf["vector"].to_numpy()).astype("float64")
-        sums, counts = np.zeros_like(rows), np.zeros(len(rows))
-        units, used, place = _unit(rows), 0, np.zeros(len(rows), dtype=int)
-        for i, row in enumerate(rows):
-            hit = -1
-            if used:
-                sims = _unit(sums[:used] / counts[:used, None]) @ units[i]
-                hit = int(sims.argmax()) if sims.max() >= threshold else -1
-            if hit < 0:
-                hit, used = used, used + 1
-            sums[hit] += row
-            counts[hit] += 1
-            place[i] = hit
-        return pdf[[*group, "id"]].assign(cluster_no=place)
-
-    typed = vectors.select(*group, F.col("id").cast("string").alias("id"), "vector")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in typed.schema.fields[:-1])
-    placed = typed.groupBy(*group).applyInPandas(cluster, f"{fields}, cluster_no int")
-    # groups are size-checked above, so the member list of a cluster is bounded as well
-    members = Window.partitionBy(*group, "cluster_no")
-    return placed.withColumn("cluster_id", cluster_id(F.collect_list("id").over(members)))
-
-
 def run_snapshot(members: DataFrame, *, run_id: str, generated_at: str, model_id: str,
                  threshold: float, cluster: str = "cluster_id") -> DataFrame:
     """The one-row description of a clustering run."""

@@ -56,4 +56,4 @@ def swimlane_frame(rows: DataFrame, interval: str = "day", project_limit: int =
         F.greatest(F.col("total_projects") - project_limit, F.lit(0)).alias("truncated_projects")
         if project_limit > 0 else F.lit(0).cast("bigint").alias("truncated_projects"))
     periods = project_swimlane(rows, interval, project_limit).select("period").distinct()
-    return periods.join(F.broadcast(left_out)).orderBy("period")
+    return periods.withColumn("truncated_projects", left_out.scalar()).orderBy("period")

@@ -24,9 +24,11 @@ from logloom.operators import synopsis as syn
 from logloom.operators import timeline as tl
 from logloom.plans import report as rep
 from logloom.plans.bindings import event_log_lines, read_table
-from logloom.plans.staging import spread, stage
+from logloom.plans.staging import stage
 from logloom.sources import export
 from logloom.plans.event_store import INACTIVITY, EventStore, event_store
+from logloom.plans.log_queries import LOG_QUERIES
+from logloom.plans.log_store import LogStore, log_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -359,7 +361,7 @@ def timeseries_day(s):
 
 @on_events()
 def timeseries_week(s):
-    return ov.timeseries(s.rows(ecosystem="source_0"), "week")
+    return ov.timeseries(s.rows(), "week")
 
 
 @on_events()
@@ -588,7 +590,7 @@ def log_lines_to_messages(events):
     from logloom.sources.format_a import normalize_a
     from logloom.sources.variants import decode
 
-    lines = stage(decode(stage(event_log_lines(spread(events)), "lines")), "decoded")
+    lines = stage(decode(stage(event_log_lines(events), "lines")), "decoded")
     m = normalize_a(lines).messages
     return m.groupBy(F.col("line_session_id").alias("session_id")).agg(
         F.count("*").alias("messages"), F.count_if("has_tool_result").alias("results"),
@@ -602,7 +604,7 @@ def log_lines_to_messages(events):
 
 @on_table("documents")
 def document_characters(documents):
-    c = spread(documents).select("lang", tx.char_classes(F.col("text")).alias("c"))
+    c = documents.select("lang", tx.char_classes(F.col("text")).alias("c"))
     return c.groupBy("lang").agg(*[F.sum(f"c.{n}").alias(n) for n in
                                    ("total", "cjk", "latin", "digit", "space", "other")])
 
@@ -625,7 +627,7 @@ def document_error_rules(documents):
     from logloom.functions.errors import category_of_rule, error_rule
 
     rule = error_rule(F.col("text"))
-    return spread(documents).groupBy(category_of_rule(rule).alias("category")).agg(
+    return documents.groupBy(category_of_rule(rule).alias("category")).agg(
         F.count("*").alias("documents"))
 
 
@@ -669,11 +671,16 @@ def leader_cluster_sizes(embeddings):
     return clu.cluster_sizes(clu.leader_clusters(_vectors(embeddings), SIMILAR))
 
 
-@on_table("embeddings")
-def greedy_clusters(embeddings):
-    return clu.greedy_clusters(_vectors(embeddings), ["label"], SIMILAR)
-
-
 @on_table("embeddings")
 def embedding_dimension(embeddings):
     return clu.check_dimension(_vectors(embeddings))
+
+
+# --- log files ---------------------------------------------------------------------------
+
+def _on_logs(f: Callable[[LogStore], DataFrame]) -> Query:
+    return lambda spark, folder: tidy(f(log_store(spark, folder)))
+
+
+for _f in LOG_QUERIES:
+    QUERIES[_f.__name__] = _on_logs(_f)

@@ -1,7 +1,7 @@
 """Tables derived from an event feed: the inputs of every cross-session operator.
 
-Row-level frames stay lazy. The per-session tables are written once to the shared folder,
-as an ingest run would, and every cross-session operator then reads those tables.
+The messages and the per-session tables are written once to the shared folder, as an ingest
+run would; other row-level frames stay lazy.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from logloom.operators import sessions as ses
 from logloom.operators import session_stats as st
 from logloom.operators.pairing import pair_tools
 from logloom.plans.bindings import event_lineage, event_messages, read_table
-from logloom.plans.staging import spread, stage
+from logloom.plans.staging import stage
 from logloom.schemas import explode_blocks
 
 # Events of one user lie hours apart, so the thresholds are in hours too.
@@ -33,7 +33,9 @@ class EventStore:
 
     @cached_property
     def messages(self) -> DataFrame:
-        return event_messages(spread(read_table(self.spark, self.folder, "events")))
+        """The feed, dealt out by event and written once; every operator reads it from there."""
+        events = read_table(self.spark, self.folder, "events").repartition("event_id")
+        return stage(event_messages(events), "messages")
 
     @cached_property
     def blocks(self) -> DataFrame:

@@ -18,7 +18,7 @@ from logloom.sources.registry import log_format
 from logloom.sources.scan import list_files, scan_logs
 from logloom.sources.store import TableStore
 
-MAX_LISTED_PATHS = 10_000
+OTHER_FILE = "another file holds this session"
 
 # Tables with one or more rows per session, replaced as a whole when a session is re-read.
 CHILD_TABLES = ("tool_stats", "tool_errors", "tool_groups", "shell_commands",
@@ -41,14 +41,8 @@ def changed_files(listing: DataFrame, tracked: DataFrame | None, force: bool = F
     return listing.join(same, ["file_path", "file_size", "file_mtime"], "left_anti")
 
 
-def _lines_of(spark: SparkSession, root: str, fmt, changed: DataFrame, everything: bool) -> DataFrame:
-    """Lines of the changed files: by name while they are few, else by time and a semi join."""
-    if everything:
-        return scan_logs(spark, root, fmt)
-    paths = [r[0] for r in changed.select("file_path").limit(MAX_LISTED_PATHS + 1).collect()]
-    literal = not any(set(p) & set("*?[]{}\\") for p in paths)
-    if literal and len(paths) <= MAX_LISTED_PATHS:
-        return scan_logs(spark, paths, fmt)
+def _lines_of(spark: SparkSession, root: str, fmt, changed: DataFrame) -> DataFrame:
+    """Lines of the changed files: files modified since the oldest of them, less the unchanged ones."""
     second_before = F.timestamp_micros(F.min("file_mtime") - 1_000_000)
     oldest = changed.agg(F.date_format(second_before, "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
     return scan_logs(spark, root, fmt, modified_after=oldest, only=changed)
@@ -79,10 +73,19 @@ def session_tables(messages: DataFrame, *, compacts: DataFrame, lineage: DataFra
     }
 
 
-def one_file_per_session(messages: DataFrame) -> DataFrame:
-    """Of several files with one session id the last path counts, as a later write would."""
-    last = messages.groupBy("session_id").agg(F.max("source_path").alias("source_path"))
-    return messages.join(last, ["session_id", "source_path"], "left_semi")
+def one_file_per_session(messages: DataFrame, stored: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Messages of the files that count, and the paths of files that hold a session of another.
+
+    Of several files with one session id the last path counts, whether it was read in this run or
+    in an earlier one, so the tables do not depend on the order of runs.
+    """
+    own = messages.select("session_id", "source_path").distinct()
+    known = own if stored is None else own.unionByName(
+        stored.select("session_id", "source_path").join(own, "session_id", "left_semi"))
+    last = known.groupBy("session_id").agg(F.max("source_path").alias("source_path"))
+    both = ["session_id", "source_path"]
+    lost = own.join(last, both, "left_anti").select("source_path").distinct()
+    return messages.join(last, both, "left_semi"), lost
 
 
 def ingest(spark: SparkSession, roots: dict[str, str], store: TableStore, *, force: bool = False,
@@ -100,7 +103,7 @@ def ingest(spark: SparkSession, roots: dict[str, str], store: TableStore, *, for
         listings.append((listing, changed))
         if not changed.limit(1).collect():
             continue
-        lines = _lines_of(spark, root, fmt, changed, everything=force or tracked is None)
+        lines = _lines_of(spark, root, fmt, changed)
         done = fmt.normalize(lines)
         done.messages = stage(done.messages, "messages")
         sizes = lines.groupBy("source_path").agg(F.max("file_size").alias("file_size"))
@@ -118,7 +121,8 @@ def ingest(spark: SparkSession, roots: dict[str, str], store: TableStore, *, for
     if not parts:
         return IngestResult(0, skipped, 0)
 
-    messages = stage(one_file_per_session(union([p.messages for p, _ in parts])), "messages")
+    counted, lost = one_file_per_session(union([p.messages for p, _ in parts]), store.read("sessions"))
+    messages, lost = stage(counted, "messages"), stage(lost, "lost")
     owners = messages.select("session_id", "source_path").distinct()
     compacts = union([p.compacts for p, _ in parts]).drop("session_id").join(owners, "source_path")
     sizes = union([s for _, s in parts]).join(owners, "source_path")
@@ -138,10 +142,12 @@ def ingest(spark: SparkSession, roots: dict[str, str], store: TableStore, *, for
     reasons = union(rejected).select(F.col("source_path").alias("file_path"), "line_no", "reason")
     read = union([p.messages for p, _ in parts]).select(
         F.col("source_path").alias("file_path"), F.lit(True).alias("read")).distinct()
-    outcome = stage(changed.join(reasons, "file_path", "left").join(read, "file_path", "left").withColumn(
-        "reason", F.coalesce("reason", F.when(F.col("read").isNull(), F.lit("no valid messages")))),
+    other = lost.select(F.col("source_path").alias("file_path"), F.lit(OTHER_FILE).alias("other"))
+    outcome = stage(changed.join(reasons, "file_path", "left").join(read, "file_path", "left")
+                    .join(other, "file_path", "left").withColumn(
+        "reason", F.coalesce("reason", F.when(F.col("read").isNull(), F.lit("no valid messages")), "other")),
         "outcome")
-    status = F.when(F.col("reason").isNull(), F.lit("parsed")).otherwise(F.lit("error"))
+    status = F.when(F.coalesce("reason", F.lit(OTHER_FILE)) == OTHER_FILE, F.lit("parsed")).otherwise(F.lit("error"))
     new_tracked = outcome.select("file_path", "file_size", "file_mtime", "ecosystem",
                                  F.lit(parsed_at).alias("last_parsed_at"), status.alias("parse_status"))
     store.upsert("tracked_files", new_tracked, ["file_path"])

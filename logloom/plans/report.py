@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -12,6 +11,7 @@ from logloom.functions.dates import iso_text
 from logloom.functions.text import truncate_ellipsis
 from logloom.operators.overview import total
 from logloom.operators.session_stats import ratio
+from logloom.sources.store import TableStore
 
 S = "session_id"
 
@@ -65,21 +65,19 @@ def top_error_categories(counts: DataFrame, limit: int = 6) -> DataFrame:
     return rows.select("key", "count").orderBy(F.col("count").desc(), "key").limit(limit)
 
 
-def run_report(state_path: str, manual: bool, now_iso: str, send: Callable[[], bool]) -> bool:
+def run_report(store: TableStore, manual: bool, now_iso: str, send: Callable[[], bool]) -> bool:
     """Send a report; the stored watermark moves only after success and only in auto mode."""
     ok = send()
     if ok and not manual:
-        with open(state_path, "w", encoding="utf-8") as f:
-            json.dump({"last_report_sent_at": now_iso}, f)
+        row = store.spark.createDataFrame([(now_iso,)], "last_report_sent_at string")
+        store.write("report_state", row.coalesce(1))
+        store.commit()
     return ok
 
 
-def read_watermark(state_path: str) -> str | None:
-    try:
-        with open(state_path, encoding="utf-8") as f:
-            return json.load(f).get("last_report_sent_at")
-    except (OSError, ValueError):
-        return None
+def read_watermark(store: TableStore) -> str | None:
+    state = store.read("report_state")
+    return state.first()["last_report_sent_at"] if state is not None else None
 
 
 def ingest_status(tracked: DataFrame, sessions: DataFrame) -> DataFrame:

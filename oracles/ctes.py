@@ -4,13 +4,30 @@ from __future__ import annotations
 
 import re
 
-from logloom.functions.errors import ERROR_RULES
-
+# The rules as SQL patterns, written out here so that a lost or changed rule shows.
+RULES = [
+    ("permission_denied", "permission", "permission denied|operation not permitted|eacces|eperm"),
+    ("command_not_found", "command", "command not found|is not recognized as an internal or external command"),
+    ("file_not_found", "file_not_found", "no such file|not found|enoent|cannot stat|does not exist"),
+    ("timeout", "timeout", "timed out|timeout|deadline exceeded"),
+    ("rate_limited", "rate_limit", "rate limit|too many requests|429"),
+    ("network", "network", "connection refused|connection reset|network|enotfound|dns"),
+    ("auth", "authentication", "unauthorized|forbidden|invalid api key|authentication failed"),
+    ("patch_apply_failed", "patch", "patch failed|hunk failed|apply_patch verification failed"),
+    ("parse_error", "parsing", "jsondecodeerror|parse error|invalid json|yaml"),
+    ("execution_failure", "execution", r"process exited with code\s*-?[1-9]\d*|exited with status\s*[1-9]\d*"
+                                       r"|non[- ]zero exit|command failed|failed to execute"),
+    ("runtime_exception", "runtime_exception",
+     r"\btraceback\b|\bexception\b|runtimeerror|typeerror|valueerror"),
+    ("web_search_failure", "web_search",
+     r"""web[_ ]search.*(failed|error)|search (failed|error)|result_status["'=:\s]+failed"""),
+    ("test_failure", "test_failure", r"assertionerror|\\bfailed\\b|traceback"),
+]
 HOUR = 3_600_000_000
 _RULE = " ".join(
     f"WHEN regexp_matches(result_text, '{pat.replace(chr(39), chr(39) * 2)}', 'i') THEN '{rule}'"
-    for rule, _, pat in ERROR_RULES)
-_CATEGORY = " ".join(f"WHEN '{rule}' THEN '{cat}'" for rule, cat, _ in ERROR_RULES)
+    for rule, _, pat in RULES)
+_CATEGORY = " ".join(f"WHEN '{rule}' THEN '{cat}'" for rule, cat, _ in RULES)
 
 
 def rule_sql(column: str) -> str:

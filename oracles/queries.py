@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from oracles import logs
 from oracles.ctes import category_sql, keep, ratio, rule_sql, with_ctes
 
 _DOUBLES = """model_time_percent tool_time_percent user_time_percent inactive_time_percent
@@ -309,7 +310,7 @@ RAW = {
       SELECT strftime(created_date, '%G-W%V') AS period, count(*) AS sessions, {s('total_tokens', 'tokens')},
         {s('total_tool_calls', 'tool_calls')}, {r('coalesce(avg(automation_ratio), 0)', 'avg_automation_ratio')},
         {r('coalesce(avg(duration_seconds), 0)', 'avg_duration_seconds')}
-      FROM rows WHERE ecosystem = 'source_0' GROUP BY 1""",
+      FROM rows GROUP BY 1""",
     "project_comparison": f"""
       SELECT project_path, any_value(project_name) AS project_name, count(*) AS sessions, {s('total_tokens')},
         {r('coalesce(avg(active_time_ratio), 0)', 'active_ratio')},
@@ -585,4 +586,5 @@ def statements() -> dict[str, str]:
     out["coverage_ratios"] = coverage_sql(
         "SELECT role, round(least(day_seconds / day_window_seconds, 1), 6) AS day_coverage, "
         "round(least(night_seconds / night_window_seconds, 1), 6) AS night_coverage")
+    out.update(logs.statements())
     return out

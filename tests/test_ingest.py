@@ -91,7 +91,24 @@ def test_incremental_ingest(spark, tmp_path):
     assert metrics.count() == 2 * len(export.METRICS)
     export.write_csv(export.tool_rows(store.read("tool_stats")), str(tmp_path / "csv"))
     back = spark.read.option("header", "true").csv(str(tmp_path / "csv")).collect()
-    assert {(r.tool_name, r.success_rate) for r in back} == {("Read", "100.00")}
+    assert {(r.tool_name, r.success_rate) for r in back} == {("Grep", "100.00")}
+
+
+def test_one_file_counts_whatever_the_order_of_runs(spark, tmp_path):
+    """A session in two files belongs to the last path, even when only the other one is read again."""
+    root, store = tmp_path / "a", TableStore(spark, str(tmp_path / "store"))
+    write(root / "one" / "s.jsonl", session("s", 2))
+    write(root / "two" / "s.jsonl", session("s", 3))
+    ingest(spark, {"format_a": str(root)}, store)
+    assert store.read("sessions").first().total_messages == 3
+    write(root / "one" / "s.jsonl", session("s", 6))
+    again = ingest(spark, {"format_a": str(root)}, store)
+    assert (again.parsed, again.skipped, again.errors) == (1, 1, 0)
+    assert store.read("sessions").first().total_messages == 3
+    lost = store.read("ingest_errors").collect()
+    assert [(r.file_path, r.reason) for r in lost] == [
+        (str(root / "one" / "s.jsonl"), "another file holds this session")]
+    assert ingest(spark, {"format_a": str(root)}, store).skipped == 2
 
 
 def test_store_publishes_only_on_commit(spark, tmp_path):

@@ -144,16 +144,15 @@ def test_leader_clusters(spark, block):
     assert got == want and len(leaders) > 3
 
 
-def test_greedy_clusters(spark):
-    rows = [("g", "a", [1.0, 0.0]), ("g", "b", [0.99, 0.01]), ("g", "c", [0.0, 1.0]), ("h", "d", [0.0, 2.0])]
-    df = spark.createDataFrame(rows, "grp string, id string, vector array<double>")
-    got = {r.id: r.cluster_id for r in clu.greedy_clusters(df, ["grp"], 0.95).collect()}
-    assert got["a"] == got["b"] != got["c"] and len(set(got.values())) == 3
-    with pytest.raises(ValueError):
-        clu.greedy_clusters(df, ["grp"], 0.95, max_group=2)
-    run = clu.run_snapshot(clu.greedy_clusters(df, ["grp"], 0.95), run_id="r", generated_at="t",
-                           model_id="m", threshold=0.95).first()
-    assert (run.session_count, run.cluster_count) == (4, 3)
+def test_cluster_run(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [0.99, 0.01]), ("c", [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id string, vector array<double>")
+    found = clu.leader_clusters(df, 0.95)
+    got = {r.id: r.leader for r in found.collect()}
+    assert got["a"] == got["b"] != got["c"]
+    run = clu.run_snapshot(found, run_id="r", generated_at="t", model_id="m", threshold=0.95,
+                           cluster="leader").first()
+    assert (run.session_count, run.cluster_count) == (3, 2)
     with pytest.raises(Exception, match="dimension"):
         clu.check_dimension(spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])],
                                                   "id string, vector array<double>")).collect()
@@ -191,11 +190,12 @@ def test_logical_lists(spark):
     assert [r.session_id for r in found.collect()] == ["x1", "c2", "x2"]
 
 
-def test_report_watermark(tmp_path):
+def test_report_watermark(spark, tmp_path):
     from logloom.plans.report import read_watermark, run_report
+    from logloom.sources.store import TableStore
 
-    path = str(tmp_path / "state.json")
-    assert read_watermark(path) is None
-    assert not run_report(path, manual=False, now_iso="t1", send=lambda: False) and read_watermark(path) is None
-    assert run_report(path, manual=True, now_iso="t1", send=lambda: True) and read_watermark(path) is None
-    assert run_report(path, manual=False, now_iso="t2", send=lambda: True) and read_watermark(path) == "t2"
+    store = TableStore(spark, str(tmp_path))
+    assert read_watermark(store) is None
+    assert not run_report(store, manual=False, now_iso="t1", send=lambda: False) and read_watermark(store) is None
+    assert run_report(store, manual=True, now_iso="t1", send=lambda: True) and read_watermark(store) is None
+    assert run_report(store, manual=False, now_iso="t2", send=lambda: True) and read_watermark(store) == "t2"
