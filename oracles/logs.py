@@ -102,12 +102,12 @@ def statements() -> dict[str, str]:
                 SELECT session_id, 0 AS c FROM msg_a UNION ALL SELECT session_id, 0 FROM heads
                 UNION ALL SELECT session_id, 1 FROM lines_a WHERE what = 'compact' AND session_id <> 'a39')
             GROUP BY 1""",
-        # a result whose id no earlier call has counts as a call of its own
+        # an id whose results come before any call of it counts as one call
         "log_sessions": f"""{both}
             SELECT 'rendered_a' AS ecosystem, session_id, NULL AS parent_session_id, NULL AS root_session_id,
                    session_id AS logical_session_id, count(*) AS total_messages,
                    CAST(coalesce(sum(tin + tout), 0) AS BIGINT) AS total_tokens,
-                   count(*) FILTER (kind = 'click' OR orphan) AS total_tool_calls
+                   count(*) FILTER (kind = 'click') + count(DISTINCT n % 5) FILTER (orphan) AS total_tool_calls
             FROM (SELECT *, kind IN ('purchase', 'error') AND coalesce(n < min(CASE WHEN kind = 'click' THEN n END)
                          OVER (PARTITION BY session_id, n % 5), true) AS orphan FROM msg_a)
             GROUP BY session_id
