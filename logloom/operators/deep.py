@@ -74,6 +74,9 @@ def tool_parameters(blocks: DataFrame) -> DataFrame:
     return keys.groupBy(S, "tool_name", "parameter").agg(F.count("*").alias("uses"))
 
 
+# The English sentences of advice, anomalies and recommendations from here on are
+# part of the results and must read exactly so.
+
 def subagent_efficiency(agents: DataFrame) -> DataFrame:
     """Means, tokens per minute and a score per (session, agent type), with real durations."""
     seconds = F.coalesce(F.col("end_us") - F.col("start_us"), F.lit(0)) / SECOND

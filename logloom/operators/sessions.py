@@ -94,7 +94,9 @@ def list_sessions(
     """
     rows = filter_sessions(sessions, **filters)
     up = sort_order.upper() == "ASC"
-    key = F.struct(F.expr(SORT_KEYS.get(sort_by, "created_at")).alias("k"), F.col(S).alias("id"))
+    by = SORT_KEYS.get(sort_by, "created_at")
+    never_parsed = by == "parsed_at" and "parsed_at" not in sessions.columns
+    key = F.struct((F.lit(None).cast("string") if never_parsed else F.expr(by)).alias("k"), F.col(S).alias("id"))
     if view_mode == "logical":
         root = F.col(S).eqNullSafe(logical_id())
         row, first = F.struct(*sessions.columns), F.min(key) if up else F.max(key)

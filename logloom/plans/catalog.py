@@ -549,7 +549,7 @@ def capability_notices(s):
     table = {"source_0": cap.CAPABILITIES["format_a"], "source_1": cap.CAPABILITIES["format_b"]}
     notices = cap.capability_notices(cap.capability_table(s.spark, table))
     used = s.sessions.groupBy("ecosystem").agg(F.count("*").alias("sessions"))
-    return used.join(F.broadcast(notices), "ecosystem").drop("reason")
+    return used.join(F.broadcast(notices), "ecosystem")
 
 
 @on_events()
@@ -559,7 +559,7 @@ def export_metrics(s):
 
 @on_events()
 def export_tools(s):
-    return export.tool_rows(s.tools).drop("avg_latency_seconds")
+    return export.tool_rows(s.tools)
 
 
 @on_events()
@@ -676,6 +676,74 @@ def embedding_dimension(embeddings):
     return clu.check_dimension(_vectors(embeddings))
 
 
+# --- pages, hashes, zones, cluster runs ----------------------------------------------------
+
+@on_events()
+def session_page_rows(s):
+    return ses.session_page(s.sessions, page=2, page_size=30, sort_by="tokens")[0].select("session_id", "total_tokens")
+
+
+@on_events()
+def session_page_counts(s):
+    return ses.session_page(s.sessions, page_size=30, sort_by="parsed", view_mode="logical")[1]
+
+
+@on_events()
+def user_messages(s):
+    return ses.messages_of_type(s.messages, "user").groupBy("session_id").agg(F.count("*").alias("messages"))
+
+
+@on_table("documents")
+def document_hashes(documents):
+    return documents.select("doc_id", tx.content_hash(F.col("text")).alias("hash"))
+
+
+@on_table("documents")
+def file_ids(documents):
+    """Ids at the end of file stems; every third stem carries none."""
+    h = F.md5(F.col("doc_id").cast("string"))
+    parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    own = F.when(F.col("doc_id") % 3 > 0, F.concat_ws("-", *parts)).otherwise(F.lit("none"))
+    return documents.select("doc_id", tx.uuid_tail(F.concat(F.lit("rollout-2026-"), own)).alias("file_id"))
+
+
+@on_table("events")
+def night_time_in_zone(events):
+    """Night share of an hour after every event, on the clock of a zone half an hour off."""
+    from logloom.functions.dates import night_micros, ntz_micros
+
+    night = night_micros(ntz_micros(F.col("ts")), F.lit(3_600_000_000), "Asia/Kolkata")
+    return events.groupBy("user_id").agg(F.sum(night).alias("night_us"), F.count("*").alias("events"))
+
+
+def _runs(embeddings):
+    rows = embeddings.select(F.col("vec_id").cast("string").alias("session_id"),
+                             F.concat(F.lit("run"), F.col("label").cast("string")).alias("run_id"), "label")
+    runs = rows.select("run_id", F.lpad(F.col("label").cast("string"), 4, "0").alias("generated_at")).distinct()
+    return runs, rows.select("run_id", "session_id")
+
+
+@on_table("embeddings")
+def latest_cluster_members(embeddings):
+    return clu.latest_memberships(*_runs(embeddings))
+
+
+@on_table("embeddings")
+def cluster_run(embeddings):
+    return clu.run_snapshot(embeddings.select("vec_id", "label"), run_id="r", generated_at="t", model_id="m",
+                            threshold=SIMILAR, cluster="label")
+
+
+@on_table("embeddings")
+def completed_vectors(embeddings):
+    n = F.col("vec_id")
+    stored = embeddings.select(
+        n.cast("string").alias("session_id"), F.when(n % 5 > 0, F.lit("m")).otherwise(F.lit("old")).alias("model_id"),
+        F.when(n % 3 > 0, F.lit("completed")).otherwise(F.lit("failed")).alias("generation_status"),
+        F.when(n % 7 > 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 0)).alias("vector"))
+    return clu.completed_vectors(stored, "m").select("id", F.size("vector").alias("dimension"))
+
+
 # --- log files ---------------------------------------------------------------------------
 
 def _on_logs(f: Callable[[LogStore], DataFrame]) -> Query:

@@ -510,19 +510,24 @@ RAW = {
         'tool_call_events=false but parsed stats include tool calls; check parser/manifest drift'
       FROM sessions WHERE ecosystem = 'source_1' AND total_tool_calls > 0""",
     "capability_notices": """
-      SELECT ecosystem, sessions, id, severity, label
+      SELECT ecosystem, sessions, id, severity, label, reason
       FROM (SELECT ecosystem, count(*) AS sessions FROM sessions GROUP BY 1)
-      JOIN (VALUES ('source_0', 'reasoning_tokens', 'info', 'Reasoning tokens'),
-                   ('source_0', 'lineage_links', 'info', 'Parent/child lineage'),
-                   ('source_1', 'reasoning_tokens', 'info', 'Reasoning tokens'),
-                   ('source_1', 'timestamp_inference', 'warning', 'Time-based metrics'))
-        n(ecosystem, id, severity, label) USING (ecosystem)""",
+      JOIN (VALUES ('source_0', 'reasoning_tokens', 'info', 'Reasoning tokens',
+                    'Not exposed by this ecosystem; related metrics should render as N/A.'),
+                   ('source_0', 'lineage_links', 'info', 'Parent/child lineage',
+                    'Physical parent-child session links are not available.'),
+                   ('source_1', 'reasoning_tokens', 'info', 'Reasoning tokens',
+                    'Not exposed by this ecosystem; related metrics should render as N/A.'),
+                   ('source_1', 'timestamp_inference', 'warning', 'Time-based metrics',
+                    'Missing timestamps are inferred best-effort; latency/time metrics are approximate.'))
+        n(ecosystem, id, severity, label, reason) USING (ecosystem)""",
     "export_metrics": "SELECT session_id, metric, round(value, 6) AS value FROM (" + " UNION ALL ".join(
         f"SELECT session_id, '{name}' AS metric, CAST(coalesce({expr}, 0) AS DOUBLE) AS value FROM stats"
         for name, expr in _EXPORTED) + ")",
     "export_tools": """
       SELECT session_id, tool_name, tool_group, calls AS total_calls, total_tokens, success_count, error_count,
-        printf('%.2f', success_count / greatest(success_count + error_count, 1) * 100) AS success_rate
+        printf('%.2f', success_count / greatest(success_count + error_count, 1) * 100) AS success_rate,
+        round(avg_latency_seconds, 3) AS avg_latency_seconds
       FROM tools""",
     "export_tool_patterns": """
       SELECT p.session_id, p.tool_name, calls AS total_calls, printf('%.2f', avg_tokens::DOUBLE) AS avg_tokens_per_call,
@@ -575,6 +580,32 @@ RAW = {
       SELECT lpad(CAST(vec_id AS VARCHAR), 12, '0') AS id, CAST(leader AS VARCHAR) AS leader,
         round(similarity, 4) AS similarity
       FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, CAST(leader AS VARCHAR)) = 1""",
+    "session_page_rows": """
+      SELECT session_id, total_tokens FROM sessions ORDER BY total_tokens DESC, session_id DESC LIMIT 30 OFFSET 30""",
+    "session_page_counts": """
+      SELECT count(DISTINCT logical_session_id) AS sessions,
+        CAST(ceil(count(DISTINCT logical_session_id) / 30) AS BIGINT) AS pages FROM sessions""",
+    "user_messages": """
+      SELECT session_id, count(*) AS messages FROM m WHERE NOT reply GROUP BY 1""",
+    "document_hashes": "SELECT doc_id, sha256(text) AS hash FROM documents",
+    "file_ids": """
+      SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'rollout-2026-none' ELSE
+        regexp_replace(md5(CAST(doc_id AS VARCHAR)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') END
+        AS file_id FROM documents""",
+    "night_time_in_zone": """
+      WITH x AS (SELECT user_id, (epoch_us(ts) + 19800000000) % 86400000000 AS t FROM events)
+      SELECT user_id, CAST(sum(greatest(least(t + 3600000000, 32400000000) - greatest(t, 3600000000), 0)) AS BIGINT)
+        AS night_us, count(*) AS events FROM x GROUP BY 1""",
+    "latest_cluster_members": """
+      SELECT 'run' || label AS run_id, CAST(vec_id AS VARCHAR) AS session_id FROM embeddings
+      WHERE label = (SELECT max(label) FROM embeddings)""",
+    "cluster_run": """
+      SELECT 'r' AS run_id, 't' AS generated_at, 'cosine_threshold_greedy' AS algorithm, 'v1' AS algorithm_version,
+        'm' AS source_model_id, 0.3::DOUBLE AS similarity_threshold, count(*) AS session_count,
+        count(DISTINCT label) AS cluster_count FROM embeddings""",
+    "completed_vectors": """
+      SELECT CAST(vec_id AS VARCHAR) AS id, CAST(len(embedding) AS BIGINT) AS dimension FROM embeddings
+      WHERE vec_id % 5 > 0 AND vec_id % 3 > 0 AND vec_id % 7 > 0""",
     "embedding_dimension": """
       SELECT count(*) AS vectors, CAST(max(len(embedding)) AS BIGINT) AS dimension FROM embeddings""",
 }
