@@ -20,7 +20,9 @@ gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -30,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.pretokens import PATTERN, cut_text, of_plain
+from logloom.llm.pretokens import PATTERN, Recent, cut_text, of_plain
 from logloom.plans.staging import stage
 
-#: Words kept in a worker's caches; they are emptied when full.
-CACHE_WORDS = 1_000_000
+#: Words and other pre-tokens that a worker keeps in each of two generations.
+LED_WORDS, BARE_TOKENS = 250_000, 50_000
 DOCS_AT_ONCE = 256
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                    ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
@@ -55,7 +57,8 @@ class TokenIds:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     The vocabulary is a byte-level BPE whose pre-tokens are taken with an optional leading space.
-    Pre-tokens are encoded by the tokenizer's model once and kept; so are whole words with their signs.
+    Pre-tokens are encoded by the tokenizer's model once and kept while they are in use; so are
+    words with their signs.
     """
 
     _shared: dict[str, TokenIds] = {}
@@ -63,10 +66,11 @@ class TokenIds:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are written as this machine's 32-bit integers, which must be little-endian")
         self.model = Tokenizer.from_file(path).model
         self.letters = dict(enumerate(byte_letters()))
-        self.words: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.words, self.bare = Recent(LED_WORDS), Recent(BARE_TOKENS)
 
     @classmethod
     def of(cls, path: str) -> TokenIds:
@@ -75,29 +79,36 @@ class TokenIds:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
-    def token(self, text: str) -> bytes:
-        """Ids of one pre-token."""
-        if (ids := self.tokens.get(text)) is None:
-            letters = text.encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-            self.tokens[text] = ids
+    def rest(self) -> None:
+        """Between tasks only the younger generations are kept."""
+        self.words.old, self.bare.old = {}, {}
+
+    def _encode(self, token: str) -> bytes:
+        letters = token.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _token(self, token: str) -> bytes:
+        """Ids of a pre-token; those after a space are kept with the words."""
+        cache, key = (self.words, token[1:]) if token[0] == " " and len(token) > 1 else (self.bare, token)
+        if (ids := cache.new.get(key)) is None:
+            ids = cache.new[key] = cache.old.get(key) or self._encode(token)
         return ids
 
     def plain(self, text: str) -> bytes:
-        return b"".join(map(self.token, PATTERN.findall(text)))
+        return b"".join(map(self._token, PATTERN.findall(text)))
 
     def word(self, word: str) -> bytes:
-        ids = self.words[word] = b"".join(map(self.token, of_plain(word)))
+        """Ids of a plain word."""
+        ids = self.words.new[word] = self.words.old.get(word) or b"".join(map(self._token, of_plain(word)))
         return ids
 
     def encode(self, text: str) -> bytes:
-        for cache in (self.words, self.tokens):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
+        self.words.turn()
+        self.bare.turn()
         head, words, plain = cut_text(text)
         if not plain:
             return self.plain(head) + b"".join([self.plain(" " + w) for w in words])
-        found = list(map(self.words.get, words))
+        found = list(map(self.words.new.get, words))
         if None in found:
             found = [self.word(w) if ids is None else ids for w, ids in zip(words, found)]
         return self.plain(head) + b"".join(found)
@@ -210,6 +221,7 @@ def _first_level(path: str, end_id: int, capacity: int, open_bins: int, look_ahe
                         for n, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                             own = ids[4 * start:4 * (start + length)]
                             yield doc_id, n, start, length, zlib.crc32(own), own if with_ids else None
+            token_ids.rest()
 
         yield from _pack(pieces(), _Out(0), capacity, open_bins, look_ahead, close=False)
 

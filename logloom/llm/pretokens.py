@@ -16,6 +16,9 @@ PATTERN = regex.compile(public_tokenizers.PATTERN)
 CUT = re.compile(r" (?=\S)")
 #: Blanks that do not stand alone between two words: such a text needs CUT, others plain splits.
 ODD_BLANK = re.compile(r"\s(?:\s|$)|^\s")
+ODD_PAIRS = ("  ", "\n\n", " \n", "\n ")
+#: Blanks other than space and line end.
+RARE_BLANK = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Signs that form one pre-token after a word.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -26,13 +29,30 @@ def cut_text(text: str) -> tuple[str, list[str], bool]:
     Plain words follow a space, or start with the line end they follow; the others keep blanks
     of their own and follow a space.
     """
-    if ODD_BLANK.search(text):
+    if _odd(text):
         head, *words = CUT.split(text)
         return head, words, False
     head, *words = text.replace("\n", " \n").split(" ")
     return head, words, True
 
 
+def _odd(text: str) -> bool:
+    if RARE_BLANK.search(text):
+        return bool(ODD_BLANK.search(text))
+    return text[:1].isspace() or text[-1:].isspace() or any(pair in text for pair in ODD_PAIRS)
+
+
+class Recent:
+    """A bounded cache of two generations: what was used since the last turn outlives the next."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def turn(self) -> None:
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+
+
 def of_plain(word: str) -> list[str]:
     """Pre-tokens of a plain word with what stands before it."""
     stem = word.rstrip(SIGNS)

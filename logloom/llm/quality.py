@@ -29,17 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.word_hashes import Words, mix
+from logloom.llm.word_hashes import Words, byte_ends, mix
 
 #: Number of hashed features: the lower half for shapes, the upper one for words.
 SPACE = 1 << 18
 HALF = SPACE // 2
-PASS_BYTES = 2_000_000
+PASS_BYTES = 400_000
 LETTER, UPPER, DIGIT, BLANK_SHAPE = 1, 2, 3, 4
 
 
 def _shapes() -> np.ndarray:
-    codes = np.arange(256, dtype=np.int64) + 8  # every other sign is a shape of its own
+    codes = np.arange(256, dtype=np.int16) + 8  # every other sign is a shape of its own
     codes[ord("a"):ord("z") + 1] = codes[128:] = LETTER
     codes[ord("A"):ord("Z") + 1] = UPPER
     codes[ord("0"):ord("9") + 1] = DIGIT
@@ -68,7 +68,7 @@ def features(texts: pa.Array) -> list[np.ndarray]:
     n_docs = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + n_docs + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
-    doc = np.repeat(np.arange(n_docs), np.diff(offsets))
+    doc = np.repeat(np.arange(n_docs, dtype=np.int32), np.diff(offsets))
     codes = SHAPES[data]
     again = np.zeros(len(codes), bool)
     again[1:] = (codes[1:] == codes[:-1]) & (codes[1:] <= DIGIT) & (doc[1:] == doc[:-1])
@@ -101,7 +101,7 @@ def features(texts: pa.Array) -> list[np.ndarray]:
 
 def slices(texts: pa.Array):
     """Parts of an array of about PASS_BYTES bytes, one text at least."""
-    ends = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in texts])
+    ends = byte_ends(texts)
     at = 0
     while at < len(texts):
         base = ends[at - 1] if at else 0

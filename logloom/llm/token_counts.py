@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.pretokens import PATTERN, cut_text, of_plain
+from logloom.llm.pretokens import PATTERN, Recent, cut_text, of_plain
 
-MAX_NODES, MAX_WORDS = 2_000_000, 1_000_000
+MAX_NODES, MAX_WORDS = 250_000, 200_000
 #: Costs are whole numbers, so that sums and ties are exact.
 UNIT = 1_000_000
 
@@ -93,7 +93,7 @@ class Counter:
 
     def __init__(self, costs: dict[bytes, int]) -> None:
         self.trie = ScoredTrie(costs)
-        self.words: dict[str, int] = {}
+        self.words = Recent(MAX_WORDS)
 
     @classmethod
     def of(cls, path: str) -> Counter:
@@ -106,18 +106,18 @@ class Counter:
         return sum(self.trie.count(t.encode()) for t in PATTERN.findall(text))
 
     def word(self, word: str) -> int:
-        n = self.words[word] = sum(self.trie.count(t.encode()) for t in of_plain(word))
+        n = self.words.old.get(word) or sum(self.trie.count(t.encode()) for t in of_plain(word))
+        self.words.new[word] = n
         return n
 
     def count(self, text: str) -> int:
         if len(self.trie.score) > MAX_NODES:
             self.trie.clear()
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
+        self.words.turn()
         head, words, plain = cut_text(text)
         if not plain:
             return self.plain(head) + sum(self.plain(" " + w) for w in words)
-        found = list(map(self.words.get, words))
+        found = list(map(self.words.new.get, words))
         if None in found:
             found = [self.word(w) if n is None else n for w, n in zip(words, found)]
         return self.plain(head) + sum(found)

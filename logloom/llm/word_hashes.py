@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -11,6 +12,11 @@ IDENTITY = np.arange(256, dtype=np.uint8)
 _STEP, _SEED = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
+def byte_ends(texts: pa.Array) -> np.ndarray:
+    """Running total of the bytes of texts."""
+    return np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(_SEED)
@@ -28,6 +34,8 @@ class Words:
     def __init__(self, texts: pa.Array, blank: np.ndarray = BLANK, fold: np.ndarray = IDENTITY) -> None:
         if texts.null_count:
             texts = texts.fill_null(b"")
+        if not pa.types.is_binary(texts.type):
+            texts = texts.cast(pa.binary())
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
         whole = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
         data = whole[offsets[0]:offsets[-1]]
