@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.fm_index import FMIndex, repeated_windows
-from logloom.llm.word_hashes import Words, mix
+from logloom.llm.word_hashes import Words, byte_ends, mix
 from logloom.plans.staging import stage
 
 #: With 30 windows of 35 words a segment has 64 words, the depth the index is sorted to.
@@ -87,7 +87,7 @@ def segments(words: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of batches of about PASS_BYTES of text (last column), at least one row each."""
     for batch in batches:
-        ends = np.cumsum([len(x) if x is not None else 0 for x in _values(batch.column(batch.num_columns - 1))])
+        ends = byte_ends(batch.column(batch.num_columns - 1))
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
@@ -96,10 +96,6 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = end
 
 
-def _values(column: pa.Array) -> list:
-    return column.to_pylist()
-
-
 def _anchor_rows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
