@@ -57,7 +57,7 @@ def test_incremental_ingest(spark, tmp_path):
     b_root = tmp_path / "b"
     write(b_root / f"rollout-2026-{ROLLOUT_ID}.jsonl", ROLLOUT)
     roots = {"format_a": str(root), "format_b": str(b_root)}
-    assert format_names() == ["format_a", "format_b"]
+    assert {"format_a", "format_b"} <= set(format_names())
     assert list_files(spark, str(root), log_format("format_a")).count() == 4
     store = TableStore(spark, str(tmp_path / "store"))
 
