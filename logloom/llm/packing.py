@@ -10,8 +10,9 @@ Packing runs in two levels. Every task packs its own rows and hands on the piece
 sequences that are still open at its end; these few are dealt to tasks of about `level_tokens`
 tokens, which pack them again and close everything. No task sees all pieces.
 
-Token ids come from the model of a `tokenizers` file. Byte-level BPE never merges over the start
-of a pre-token, so each word is encoded once and then looked up in a bounded cache.
+Token ids come from a `tokenizers` file. Byte-level BPE never merges over the start of a
+pre-token, so each word is encoded once by the file's model and then looked up in a bounded cache.
+A text that holds an added token of the file (`<|endoftext|>`) is encoded by the whole tokenizer.
 
 Defined results: a null text is empty, and every document ends with id `end_id`, so an empty
 one is a piece of length 1; ids may be null or repeated, each row is packed; an empty table
@@ -20,6 +21,7 @@ gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from array import array
@@ -58,7 +60,7 @@ class TokenIds:
 
     The vocabulary is a byte-level BPE whose pre-tokens are taken with an optional leading space.
     Pre-tokens are encoded by the tokenizer's model once and kept while they are in use; so are
-    words with their signs.
+    words with their signs. `encode` takes added tokens of the file as plain text, `whole` matches them.
     """
 
     _shared: dict[str, TokenIds] = {}
@@ -68,7 +70,10 @@ class TokenIds:
 
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are written as this machine's 32-bit integers, which must be little-endian")
-        self.model = Tokenizer.from_file(path).model
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.letters = dict(enumerate(byte_letters()))
         self.words, self.bare = Recent(LED_WORDS), Recent(BARE_TOKENS)
 
@@ -113,6 +118,12 @@ class TokenIds:
             found = [self.word(w) if ids is None else ids for w, ids in zip(words, found)]
         return self.plain(head) + b"".join(found)
 
+    def whole(self, text: str) -> bytes:
+        """Ids of a text as the tokenizer gives them, its added tokens included."""
+        if self.added and self.added.search(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.encode(text)
+
 
 class Packer:
     """Bounded-space online best-fit over pieces of 1 to capacity tokens."""
@@ -217,7 +228,7 @@ def _first_level(path: str, end_id: int, capacity: int, open_bins: int, look_ahe
                 for at in range(0, batch.num_rows, DOCS_AT_ONCE):
                     part = batch.slice(at, DOCS_AT_ONCE)
                     for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                        ids = token_ids.encode(text or "") + end
+                        ids = token_ids.whole(text or "") + end
                         for n, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                             own = ids[4 * start:4 * (start + length)]
                             yield doc_id, n, start, length, zlib.crc32(own), own if with_ids else None
