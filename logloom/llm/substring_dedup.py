@@ -19,8 +19,8 @@ A run of windows with one anchor is a segment (at most `SEGMENT_WINDOWS` windows
 Hashes only decide where a window goes. Whether it repeats is decided on the words themselves.
 
 Defined results: a null text has no words; texts shorter than a window stay whole; repeated
-rows and rows with null or repeated ids are documents of their own (told apart by a hash of
-the text), so all their windows repeat; an empty table gives an empty result; further columns
+rows and rows with null or repeated ids are documents of their own (told apart by the md5 of id
+and text), so all their windows repeat; an empty table gives an empty result; further columns
 are ignored.
 """
 
@@ -44,12 +44,12 @@ SEGMENT_WINDOWS = 30
 #: Text bytes that one pass over a batch works on.
 PASS_BYTES = 4_000_000
 
-ANCHOR_DDL = "anchor long, doc_id long, text_hash int, start int"
-PART = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int32()),
+ANCHOR_DDL = "anchor long, high long, low long, start int"
+PART = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("high", pa.int64()), ("low", pa.int64()),
                   ("start", pa.int32()), ("words", pa.binary()), ("n", pa.int64())])
-PART_DDL = ("anchor long, segment long, doc_id long, text_hash int, start int, words binary, n long")
+PART_DDL = ("anchor long, segment long, high long, low long, start int, words binary, n long")
 RUN = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
-SPAN_DDL = ("doc_id long, text_hash int, n_words long, n_removed long, kept_sha256 string,"
+SPAN_DDL = ("doc_id long, n_words long, n_removed long, kept_sha256 string,"
             " spans array<struct<first:int,end:int>>, kept string")
 
 
@@ -105,13 +105,13 @@ def _anchor_rows(window: int, gram: int):
             rows = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(anchor.view(np.int64)), part.column(0).take(rows), part.column(1).take(rows),
-                 pa.array(start.astype(np.int32))], ["anchor", "doc_id", "text_hash", "start"])
+                 pa.array(start.astype(np.int32))], ["anchor", "high", "low", "start"])
 
     return run
 
 
 def _cut(window: int, gram: int):
-    """Rows (doc_id, text_hash, starts, text) to the places of the wanted segments and, combined, their words."""
+    """Rows (high, low, starts, text) to the places of the wanted segments and, combined, their words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, bytes], int] = {}
         size = 0
@@ -121,7 +121,7 @@ def _cut(window: int, gram: int):
             wanted_doc = np.repeat(np.arange(part.num_rows), np.diff(wanted.offsets.to_numpy()))
             keys = wanted_doc << 32 | wanted.flatten().to_numpy()
             chosen = np.flatnonzero(np.isin(doc << 32 | start, keys))
-            texts, ids, hashes = part.column(3), part.column(0).to_pylist(), part.column(1).to_pylist()
+            texts, high, low = part.column(3), part.column(0).to_pylist(), part.column(1).to_pylist()
             rows: list[tuple] = []
             last, joined, ends = -1, b"", np.empty(0, np.int64)
             for d, a, k, h in zip(doc[chosen].tolist(), start[chosen].tolist(), n_windows[chosen].tolist(),
@@ -132,7 +132,7 @@ def _cut(window: int, gram: int):
                     ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1)
                     last = d
                 own = joined[ends[a - 1] if a else 0:ends[a + k + window - 2] - 1]
-                rows.append((h, xxhash.xxh64_intdigest(own) - (1 << 63), ids[d], hashes[d], a, None, None))
+                rows.append((h, xxhash.xxh64_intdigest(own) - (1 << 63), high[d], low[d], a, None, None))
                 if (h, own) not in seen:
                     size += len(own)
                 seen[h, own] = seen.get((h, own), 0) + 1
@@ -210,7 +210,7 @@ def _remove(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
             out = []
-            for doc_id, text_hash, runs, text in zip(*(c.to_pylist() for c in part.columns)):
+            for doc_id, runs, text in zip(*(c.to_pylist() for c in part.columns)):
                 words = (text or b"").split()
                 spans: list[list[int]] = []
                 for run in sorted((r["first"], r["end"]) for r in runs or []):
@@ -225,7 +225,7 @@ def _remove(window: int, with_text: bool):
                     at = end
                 kept += words[at:]
                 joined = b" ".join(kept)
-                out.append((doc_id, text_hash, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(),
+                out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(),
                             [{"first": a, "end": b} for a, b in spans],
                             joined.decode("utf-8", "replace") if with_text else None))
             yield pa.RecordBatch.from_pylist(
@@ -234,20 +234,19 @@ def _remove(window: int, with_text: bool):
     return run
 
 
-REMOVED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int32()), ("n_words", pa.int64()),
+REMOVED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()),
                      ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
                      ("spans", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))),
                      ("kept", pa.string())])
 
 
 def repeated_runs(docs: DataFrame, window: int, gram: int, chunk: int, shard_words: int) -> DataFrame:
-    """docs (doc_id, text_hash, text) to doc_id, text_hash, runs of repeated windows."""
+    """docs (high, low, text) to high, low, runs of repeated windows."""
     found = docs.mapInArrow(_anchor_rows(window, gram), ANCHOR_DDL)
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    wanted = (found.join(often, "anchor", "left_semi").groupBy("doc_id", "text_hash")
+    wanted = (found.join(often, "anchor", "left_semi").groupBy("high", "low")
               .agg(F.collect_set("start").alias("starts")))
-    same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_hash"] == wanted["text_hash"])
-    parts = stage(docs.join(wanted, same).select(docs["doc_id"], docs["text_hash"], "starts", "text")
+    parts = stage(docs.join(wanted, ["high", "low"]).select("high", "low", "starts", "text")
                   .mapInArrow(_cut(window, gram), PART_DDL), "segments")
 
     texts = parts.filter("words is not null").select("anchor", "words", "n")
@@ -260,19 +259,21 @@ def repeated_runs(docs: DataFrame, window: int, gram: int, chunk: int, shard_wor
              .select("anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "words", "n"))
     runs = (items.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
             .mapInArrow(_search(window, shard_words), "anchor long, segment long, first int, end int").distinct())
-    places = parts.filter("words is null").select("anchor", "segment", "doc_id", "text_hash", "start")
+    places = parts.filter("words is null").select("anchor", "segment", "high", "low", "start")
     return (places.join(runs, ["anchor", "segment"])
-            .groupBy("doc_id", "text_hash")
-            .agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("first"),
-                                         (F.col("start") + F.col("end")).alias("end"))).alias("runs")))
+            .groupBy("high", "low")
+            .agg(F.collect_set(F.struct((F.col("start") + F.col("first")).alias("first"),
+                                        (F.col("start") + F.col("end")).alias("end"))).alias("runs")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 10,
                    chunk: int = 8_192, shard_words: int = 1_000_000, with_text: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, spans (of words) and kept."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("text_hash"),
-                       F.col(text_col).cast("binary").alias("text"))
-    runs = repeated_runs(rows, window, gram, chunk, shard_words)
-    same = rows["doc_id"].eqNullSafe(runs["doc_id"]) & (rows["text_hash"] == runs["text_hash"])
-    return (rows.join(runs, same, "left").select(rows["doc_id"], rows["text_hash"], "runs", "text")
-            .mapInArrow(_remove(window, with_text), SPAN_DDL).drop("text_hash"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    given = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":")).cast("binary")
+    digest = F.md5(F.concat(given, F.coalesce("text", F.lit(b""))))
+    rows = rows.select("doc_id", "text", *[F.conv(F.substring(digest, at, 16), 16, -10).cast("long").alias(name)
+                                           for at, name in ((1, "high"), (17, "low"))])
+    runs = repeated_runs(rows.select("high", "low", "text"), window, gram, chunk, shard_words)
+    return (rows.join(runs, ["high", "low"], "left").select("doc_id", "runs", "text")
+            .mapInArrow(_remove(window, with_text), SPAN_DDL))
