@@ -29,12 +29,13 @@ BROADCAST_RULES = 200_000
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Rows (action, host, path) as a rule table: rule, action, pattern, tokens.
 
-    The pattern is matched against host, U+0000 and path.
+    The pattern is matched against host, U+0000 and path. A token that ends the path may go on in a
+    URL, so it is none of the rule's tokens.
     """
     rows = []
     for action, host, path in rules:
         pattern = rf"^(?:[^\x00]*\.)?{_literal(host)}\x00{_literal(path)}"
-        rows.append((host + path, action, pattern, sorted(set(re.findall(TOKEN, f"{host} {path}")))))
+        rows.append((host + path, action, pattern, sorted(set(re.findall(TOKEN, f"{host} {re.sub(f'{TOKEN}$', '', path)}")))))
     return spark.createDataFrame(rows, "rule string, action string, pattern string, tokens array<string>")
 
 
