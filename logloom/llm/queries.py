@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from logloom.llm import (
     decontamination,
     exact_dedup,
+    fill_in_middle,
     html_text,
     language_id,
     packing,
     quality,
+    ranked_search,
     simhash,
     substring_dedup,
     token_counts,
+    token_files,
     url_rules,
 )
 from logloom.llm.shared import crc_mod, table
@@ -79,6 +82,23 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    text = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                        F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.fresh_folder(spark)
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_tokens(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -90,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_html_extraction": op9_html_extraction,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLE_SQL = {
@@ -138,4 +161,54 @@ ORACLE_SQL = {
         SELECT page_id, host, path, b.rule AS rule, coalesce(b.action, 'allow') AS verdict
         FROM parsed LEFT JOIN best USING (page_id)
     """,
+    "op11_ranked_search": r"""
+        WITH words AS (
+            SELECT doc_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents),
+        counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+        lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+        totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_words FROM lengths),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM counts, totals GROUP BY term, n_docs),
+        wanted AS (
+            SELECT item_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        impacts AS (
+            SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_words)) AS impact
+            FROM counts JOIN lengths USING (doc_id), totals),
+        scores AS (
+            SELECT item_id, doc_id, sum(w * impact)::BIGINT AS score
+            FROM wanted JOIN weights USING (term) JOIN impacts USING (term) GROUP BY item_id, doc_id),
+        ranked AS (
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+            FROM scores WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= 20
+    """,
+    "op12_fill_in_middle": r"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h
+            FROM documents),
+        numbers AS (
+            SELECT doc_id, text, n, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b,
+                   ('0x' || h[17:24])::BIGINT % 100 AS keep, ('0x' || h[25:32])::BIGINT % 100 AS turn
+            FROM texts),
+        parts AS (
+            SELECT doc_id, n, text,
+                   CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR keep >= 90
+                        THEN 'plain' WHEN turn < 20 THEN 'spm' ELSE 'psm' END AS form,
+                   least(a, b) AS c, greatest(a, b) AS d
+            FROM numbers)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN c END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN d - c END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text
+                      WHEN 'psm' THEN '<P>' || substr(text, 1, c) || '<S>' || substr(text, d + 1) || '<M>' || substr(text, c + 1, d - c)
+                      ELSE '<S>' || substr(text, d + 1) || '<P>' || substr(text, 1, c) || '<M>' || substr(text, c + 1, d - c) END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM parts
+    """,
 }
