@@ -1,12 +1,12 @@
 """Token ids as binary files of fixed-width bit-packed integers.
 
-Each id takes the minimum bits that the vocabulary needs. A file is a row of segments, each with
-all it needs to be read alone (numbers little-endian unless said otherwise):
+Each id takes the minimum bits that the vocabulary needs. A folder has `kind=ids` with the files and
+`kind=index` with lines `range,ids`. A file is a row of segments (numbers are little-endian):
 
 | bytes | content |
 |---|---|
 | 4 | `TKB1` |
-| 8 | start: number of ids of all documents before the segment, big-endian |
+| 12 | range (u32), start: number of ids before the segment in its range (u64) |
 | 24 | bits an id (u8), 3 zero bytes, documents (u32), ids (u64), ids a block (u32), blocks (u32) |
 | ceil(documents / 8) | one bit per document: its doc_id is null |
 | 8 a document | doc_id (i64) |
@@ -14,15 +14,15 @@ all it needs to be read alone (numbers little-endian unless said otherwise):
 | 8 a block, and 8 | byte offsets of the blocks in the payload, and its end (u64) |
 | payload | the ids: block by block, each starting at a byte, the lowest bit first |
 
-and one line end after it. Documents are in ascending doc_id order, nulls last: the folders
-`part=<number>` are in order, and `start` orders segments. Block offsets and the fixed width
-find any id without reading others; unpacking gathers five bytes an id with numpy.
+and one line end after it. Documents are in ascending doc_id order, nulls last: ranges are in order,
+as are the names of their files, and the sums of the index give each range its start. Block
+offsets and the fixed width find any id without reading others; unpacking gathers five bytes an id
+with numpy.
 
-Writing. Texts are encoded once and staged with ids of two or four bytes. A range shuffle over
-(doc_id, staged row) sorts them; a hot or null id is split by its row, so ranges stay even. Each
-task makes segments of about `segment_ids` ids (a document is never cut) and counts from its own
-zero; the totals of the ranges, one small row each, give every range its start. Files are
-written by Spark's writer, so they land in any store Spark can write, and lost tasks run again.
+Writing. A range shuffle over (doc_id, row) sorts the documents; a hot or null id is split by its
+row, so ranges stay even. Each task encodes its range once and makes segments of about
+`segment_ids` ids (a document is never cut), counting from its own zero. Files are written by
+Spark's writer, so they land in any store Spark can write, and lost tasks run again.
 
 Defined results: a null text is empty and has the end id only; null and repeated ids are all
 written, in the order of their staged rows; an empty table gives no segments and reads back as an
@@ -43,17 +43,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.packing import TokenIds
-from logloom.plans.staging import shared_folder, stage
+from logloom.plans.staging import shared_folder
 
 MAGIC = b"TKB1"
-_HEAD = struct.Struct("<B3xIQII")
+_PLACE, _HEAD = struct.Struct("<IQ"), struct.Struct("<B3xIQII")
 BLOCK = 4096
 DOCS_AT_ONCE = 256
 #: Ranges whose totals are added up together.
 _RUN = 4096
-_TOKENS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
-_SEGMENTS = pa.schema([("part", pa.int32()), ("own_start", pa.int64()), ("n_ids", pa.int64()), ("body", pa.binary())])
-_DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()),
+_ROWS = pa.schema([("kind", pa.string()), ("value", pa.binary())])
+_DOCS = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("own_start", pa.int64()), ("n_tokens", pa.int64()),
                    ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
 
@@ -85,13 +84,14 @@ def unpack_bits(packed: np.ndarray, first: int, n: int, width: int) -> np.ndarra
     return ((value >> (at & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
-def segment_body(doc_ids: list, lengths: list[int], ids: np.ndarray, width: int, block: int = BLOCK) -> bytes:
-    """All of a segment behind its start."""
+def segment_bytes(part: int, start: int, doc_ids: list, lengths: list[int], ids: np.ndarray, width: int,
+                  block: int = BLOCK) -> bytes:
+    """A segment of range `part` that has `start` ids before it there."""
     blocks = [pack_bits(ids[k:k + block], width) for k in range(0, len(ids), block)]
     offsets = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
     nulls = np.packbits(np.array([d is None for d in doc_ids], bool), bitorder="little")
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    return b"".join([_HEAD.pack(width, len(doc_ids), len(ids), block, len(blocks)), nulls.tobytes(), known.tobytes(),
+    return b"".join([MAGIC, _PLACE.pack(part, start), _HEAD.pack(width, len(doc_ids), len(ids), block, len(blocks)), nulls.tobytes(), known.tobytes(),
                      np.array(lengths, "<u4").tobytes(), offsets.tobytes(), *blocks])
 
 
@@ -101,9 +101,10 @@ class Segment:
     def __init__(self, data: memoryview, at: int = 0) -> None:
         if bytes(data[at:at + 4]) != MAGIC:
             raise ValueError("no token segment at this place")
-        self.start = int.from_bytes(data[at + 4:at + 12], "big")
-        self.width, self.n_docs, self.n_ids, self.block, n_blocks = _HEAD.unpack_from(data, at + 12)
-        at += 12 + _HEAD.size
+        self.part, self.start = _PLACE.unpack_from(data, at + 4)
+        at += 4 + _PLACE.size
+        self.width, self.n_docs, self.n_ids, self.block, n_blocks = _HEAD.unpack_from(data, at)
+        at += _HEAD.size
 
         def column(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -142,45 +143,36 @@ def segments(data: bytes) -> Iterator[Segment]:
         at = found.end + 1
 
 
-def _encode(path: str, end_id: int, narrow: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token_ids, end = TokenIds.of(path), np.array([end_id], narrow).tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(at, DOCS_AT_ONCE)
-                found = [token_ids.whole(t or "") for t in part.column(1).to_pylist()]
-                counts = np.fromiter(map(len, found), np.int64, len(found)) // 4 + 1
-                ids = [np.frombuffer(f, "<u4").astype(narrow).tobytes() + end for f in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(ids, pa.binary())],
-                                                 schema=_TOKENS)
-        token_ids.rest()
-
-    return run
-
-
-def _make(width: int, narrow: str, segment_ids: int):
+def _make(path: str, end_id: int, width: int, segment_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token_ids, end = TokenIds.of(path), np.array([end_id], "<u4").tobytes()
         part, before, held = TaskContext.get().partitionId(), 0, 0
         docs: list = []
         parts: list[bytes] = []
 
-        def close() -> pa.RecordBatch:
-            size = np.dtype(narrow).itemsize
-            ids = np.frombuffer(b"".join(parts), narrow)
-            body = segment_body(docs, [len(p) // size for p in parts], ids, width)
-            columns = [[part], [before], [len(ids)], [body]]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SEGMENTS)], schema=_SEGMENTS)
+        def row(kind: str, value: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([value], pa.binary())], schema=_ROWS)
+
+        def segment() -> pa.RecordBatch:
+            ids = np.frombuffer(b"".join(parts), "<u4")
+            return row("ids", segment_bytes(part, before, docs, [len(p) // 4 for p in parts], ids, width))
 
         for batch in batches:
-            for doc_id, n, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held + n > segment_ids:
-                    yield close()
-                    before, held, docs, parts = before + held, 0, [], []
-                docs.append(doc_id)
-                parts.append(ids)
-                held += n
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                rows = batch.slice(at, DOCS_AT_ONCE)
+                for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                    ids = token_ids.whole(text or "") + end
+                    n = len(ids) // 4
+                    if held and held + n > segment_ids:
+                        yield segment()
+                        before, held, docs, parts = before + held, 0, [], []
+                    docs.append(doc_id)
+                    parts.append(ids)
+                    held += n
         if held:
-            yield close()
+            yield segment()
+            yield row("index", f"{part},{before + held}".encode())
+        token_ids.rest()
 
     return run
 
@@ -192,57 +184,60 @@ def _read(with_ids: bool):
                 for found in segments(content.as_buffer()):
                     own = [found.document(k).astype("<u4").tobytes() for k in range(found.n_docs)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(found.doc_ids, mask=found.nulls), pa.array(found.start + found.firsts),
+                        [pa.array(found.doc_ids, mask=found.nulls), pa.array(np.full(found.n_docs, found.part)),
+                         pa.array(found.start + found.firsts),
                          pa.array(found.lengths), pa.array([zlib.crc32(x) for x in own], pa.int64()),
                          pa.array(own if with_ids else [None] * len(own), pa.binary())], schema=_DOCS)
 
     return run
 
 
-def _starts(made: DataFrame) -> DataFrame:
-    """part, base: ids of all ranges before it, added up in runs of ranges."""
-    per_part = (made.groupBy("part").agg(F.sum("n_ids").alias("ids"))
-                .withColumn("run", F.floor(F.col("part") / _RUN)))
+def _starts(index: DataFrame) -> DataFrame:
+    """Rows (part, ids) of the ranges to part, base: ids of all ranges before, added up in runs of ranges."""
+    rows = index.withColumn("run", F.floor(F.col("part") / _RUN))
     before = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = per_part.groupBy("run").agg(F.sum("ids").alias("ids"))
+    runs = rows.groupBy("run").agg(F.sum("ids").alias("ids"))
     runs = runs.select("run", before(Window.orderBy("run")).alias("run_base"))
     own = before(Window.partitionBy("run").orderBy("part"))
-    return per_part.withColumn("own", own).join(runs, "run").select("part", (F.col("own") + F.col("run_base")).alias("base"))
+    return rows.withColumn("own", own).join(runs, "run").select("part", (F.col("own") + F.col("run_base")).alias("base"))
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-                 end_id: int = 2, segment_ids: int = 1 << 20, range_ids: int = 1 << 26,
-                 segments_a_file: int = 8) -> None:
-    """Encode all documents and write their ids to `folder`, which must not exist yet."""
+                 end_id: int = 2, segment_ids: int = 1 << 20, range_bytes: int = 256 << 20,
+                 least_bytes: int = 4 << 20, segments_a_file: int = 8) -> None:
+    """Encode all documents and write their ids to `folder`, which must not exist yet.
+
+    A range holds about range_bytes of text; smaller tables are dealt to all shuffle partitions, but
+    to no ranges under least_bytes.
+    """
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     width = bits_for(max(Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1))
-    narrow = "<u2" if width <= 16 else "<u4"
-    tokens = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
-        _encode(tokenizer_path, end_id, narrow), "doc_id long, n long, ids binary")
-    tokens = stage(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
-    total = tokens.agg(F.sum("n")).first()[0] or 0
-    even = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // segment_ids))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    even = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // least_bytes))
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")]
-    made = (tokens.repartitionByRange(max(-(-total // range_ids), even, 1), *order).sortWithinPartitions(*order)
-            .select("doc_id", "n", "ids")
-            .mapInArrow(_make(width, narrow, segment_ids), "part int, own_start long, n_ids long, body binary"))
-    made = stage(made, "segments")
-    # one row per range of about range_ids ids: a few MB for 10^13 ids
-    placed = made.join(F.broadcast(_starts(made)), "part")
-    start = F.unhex(F.lpad(F.hex(F.col("base") + F.col("own_start")), 16, "0"))
-    (placed.select(F.concat(F.lit(MAGIC), start, F.col("body")).cast("string").alias("value"),
-                   F.lpad(F.col("part").cast("string"), 8, "0").alias("part"))
-     .write.partitionBy("part").option("lineSep", "\n").option("maxRecordsPerFile", segments_a_file).text(folder))
+    ranges = (rows.withColumn("row", F.monotonically_increasing_id())
+              .repartitionByRange(max(-(-total // range_bytes), even, 1), *order).sortWithinPartitions(*order))
+    (ranges.select("doc_id", "text").mapInArrow(_make(tokenizer_path, end_id, width, segment_ids), "kind string, value binary")
+     .select("kind", F.col("value").cast("string").alias("value"))
+     .write.partitionBy("kind").option("lineSep", "\n").option("maxRecordsPerFile", segments_a_file).text(folder))
 
 
 def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """One row per document of the files: doc_id, start, n_tokens, ids_crc32 (and ids, 32-bit)."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "part-*").load(folder))
-    found = files.select("content").mapInArrow(
-        _read(with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    def files(kind: str):
+        return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").format(kind)
+
+    lines = files("text").load(folder).filter(F.col("_metadata.file_path").contains("/kind=index/"))
+    pair = F.split("value", ",")
+    # one row per range of about range_bytes of text: some MB for 100 TB
+    starts = F.broadcast(_starts(lines.select(pair[0].cast("long").alias("part"), pair[1].cast("long").alias("ids"))))
+    found = files("binaryFile").load(folder).filter(F.col("path").contains("/kind=ids/")).select("content").mapInArrow(
+        _read(with_ids), "doc_id long, part long, own_start long, n_tokens long, ids_crc32 long, ids binary")
+    found = found.join(starts, "part").select(
+        "doc_id", (F.col("base") + F.col("own_start")).alias("start"), "n_tokens", "ids_crc32", "ids")
     return found if with_ids else found.drop("ids")
 
 

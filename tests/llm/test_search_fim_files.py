@@ -137,10 +137,9 @@ def test_segments_give_any_document():
     rng = np.random.default_rng(2)
     lengths = [1, 300, 0, 77, 5000]
     ids = rng.integers(0, 50_257, sum(lengths), dtype=np.uint32)
-    body = token_files.segment_body([4, None, -1, 7, 7], lengths, ids, 16, block=64)
-    data = b"".join([token_files.MAGIC, (12).to_bytes(8, "big"), body, b"\n"]) * 2
+    data = (token_files.segment_bytes(3, 12, [4, None, -1, 7, 7], lengths, ids, 16, block=64) + b"\n") * 2
     for found in token_files.segments(data):
-        assert found.start == 12 and found.n_ids == len(ids)
+        assert (found.part, found.start) == (3, 12) and found.n_ids == len(ids)
         assert [None if null else int(d) for d, null in zip(found.doc_ids, found.nulls)] == [4, None, -1, 7, 7]
         for k, (first, n) in enumerate(zip(np.cumsum([0, *lengths]), lengths)):
             assert (found.document(k) == ids[first:first + n]).all()
@@ -149,7 +148,7 @@ def test_segments_give_any_document():
         token_files.Segment(memoryview(b"none" + data))
 
 
-@pytest.mark.parametrize("sizes", [{}, {"segment_ids": 40, "range_ids": 300, "segments_a_file": 2}])
+@pytest.mark.parametrize("sizes", [{}, {"segment_ids": 40, "range_bytes": 900, "least_bytes": 200, "segments_a_file": 2}])
 def test_files_hold_the_tokenizers_ids(spark, tmp_path, sizes):
     rnd = random.Random(8)
     docs = [(i, " ".join(rnd.choices(["Hello", "world", "é中", "\n\n", "x1,", "<|endoftext|>"], k=rnd.randrange(12))))
