@@ -25,4 +25,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.staged_path = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a staged frame that nothing will read again."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
