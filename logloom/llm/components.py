@@ -3,7 +3,8 @@
 Each round hangs every node under the smallest node it can see, first its larger neighbours
 (large star), then its smaller ones (small star). Rounds are joins and combinable `min`
 aggregations; the links of a round are written to the shared folder, and the loop ends when a
-round changes nothing (same count, same sum of hashes). No component is ever gathered.
+round changes nothing (same count, same sum of hashes). A round reads only the one before it, so
+older ones are deleted. No component is ever gathered.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.plans.staging import stage
+from logloom.plans.staging import discard, stage
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -35,8 +36,9 @@ def components(links: DataFrame) -> DataFrame:
     links = stage(links.filter("a <> b").distinct(), "links")
     before = signature(links)
     while before[0]:
-        links = stage(_small_star(_large_star(links)), "links")
+        last, links = links, stage(_small_star(_large_star(links)), "links")
         after = signature(links)
+        discard(last)
         if after == before:
             break
         before = after

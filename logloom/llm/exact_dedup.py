@@ -96,14 +96,24 @@ def exact_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
-    Only rows that won are ranked by the window, so its groups hold repeats of one id and text.
+    Winners are settled on ids, lengths and digests; whole rows are then joined to them on all three, so
+    the copies of a text meet in no common key. Only rows that won are ranked by the window, so its
+    groups hold repeats of one id and text.
     """
     identity = options.get("identity", sha256)
+    norm = without_blanks(F.col(text_col))
     whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-                        without_blanks(F.col(text_col)).alias("norm"),
-                        F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"))
-    rows = whole.withColumn("identity", identity(F.col("norm")))
-    found = _attach(rows, docs, id_col, text_col, **options).filter(
-        F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
-    order = Window.partitionBy("identity", sha256(F.col("norm"))).orderBy(F.monotonically_increasing_id())
+                        F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"),
+                        identity(norm).alias("identity"))
+    classes, shared = _class_table(docs, id_col, text_col, **options)
+    if stage(shared, "exact-shared").isEmpty():
+        heads = classes.select(F.col("identity").alias("own"), "keep_id", "keep_chars")
+        found = whole.join(heads, (F.col("identity") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+                           & (F.col("n_chars") == F.col("keep_chars"))).withColumn("text_sha", F.lit(""))
+    else:
+        rows = whole.withColumn("norm", without_blanks(F.col(f"row.`{text_col}`")))
+        found = _attach(rows, docs, id_col, text_col, **options).filter(
+            F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))).withColumn(
+            "text_sha", sha256(F.col("norm")))
+    order = Window.partitionBy("identity", "text_sha").orderBy(F.monotonically_increasing_id())
     return found.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("row.*")

@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from logloom.llm import decontamination, packing, quality, queries, simhash
+from logloom.llm import decontamination, packing, quality, queries
+from test_near_copies import groups_of_all_pairs
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,14 +39,8 @@ def test_stages_take_effect(spark):
     assert ids["exact_dedup"] == sorted(i for _, i in best.values())
 
     kept = ids["exact_dedup"]
-    prints = {i: simhash.fingerprint_of(rows[i].encode()) for i in kept}
-    group = {i: i for i in kept}
-    for _ in kept:  # smallest id over links, until nothing moves
-        new = {i: min(group[j] for j in kept if (prints[i] ^ prints[j]).bit_count() <= 3) for i in kept}
-        if new == group:
-            break
-        group = new
-    assert ids["simhash_near_dedup"] == sorted(i for i in kept if group[i] == i)
+    group, pairs = groups_of_all_pairs([(i, rows[i]) for i in kept])
+    assert ids["simhash_near_dedup"] == sorted(set(group.values())) and pairs
 
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = []
@@ -67,6 +62,33 @@ def test_stages_take_effect(spark):
     assert sum(sizes.values()) == tokens
 
 
+ODD = [(None, "no id " * 30), (None, None), (1, ""), (2, "The same text of some words. " * 9),
+       (2, "The same text of some words. " * 9), (3, "The same text  of some words. " * 9), (4, "long " * 300_000)]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(spark, name):
+    """Nulls, empty and very long texts, repeated rows, further columns with clashing names, no rows."""
+    function = dict(corpus_pipeline.STAGES)[name]
+    schema = "doc_id long, text string, row int, sha string, node long, length int, features string"
+    docs = spark.createDataFrame([(*r, 1, "x", 2, 3, "y") for r in ODD], schema)
+    found = function(spark, docs, SF)
+    rows = found.collect()
+    assert function(spark, docs.limit(0), SF).count() == 0
+    if name == "best_fit_packing":
+        assert len({(r.doc_id, r.piece) for r in rows}) >= 5 and sum(r.piece == 0 for r in rows) == len(ODD)
+        return
+    assert found.columns == docs.columns and all((r.row, r.sha, r.node) == (1, "x", 2) for r in rows)
+    got = [(r.doc_id, r.text) for r in rows]
+    assert all(r in ODD for r in got)
+    if name == "exact_dedup":  # blanks do not count, most code points win
+        assert sorted(got, key=str) == sorted([ODD[0], ODD[2], ODD[5], ODD[6]], key=str)
+    elif name == "simhash_near_dedup":  # the smallest id stays, repeated rows once
+        assert sorted(got, key=str) == sorted([ODD[0], ODD[2], ODD[3], ODD[6]], key=str)
+    elif name == "benchmark_decontamination":
+        assert len(got) == len(ODD)
+
+
 def test_run_gives_the_last_stage(spark):
     found = corpus_pipeline.run(spark, SF)
     assert found.count() > 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(found.columns)
