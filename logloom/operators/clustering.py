@@ -1,7 +1,7 @@
 """Similarity clusters of vectors.
 
-`leader_clusters` compares vectors with leaders only, a bounded block at a time. No pair
-of members is formed and the work is spread over all partitions in every round.
+Leaders are elected by rounds of an exact similarity join that hands on no pairs. `best_match`
+compares vectors with a bounded block of targets at a time.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.vectors import cluster_id  # noqa: F401
+from logloom.operators.similarity import fixed_leaders
 from logloom.plans.staging import stage
 
 # workers get this module's code with the job, so they need no copy of the package
@@ -57,12 +58,8 @@ def _blocks(sorted_ids: DataFrame, block: int) -> Iterator[tuple[list[str], np.n
         yield [r["id"] for r in rows], np.array([r["vector"] for r in rows], dtype="float64")
 
 
-def _improve(state: DataFrame, ids: list[str], units: np.ndarray, elected: bool) -> DataFrame:
-    """Raise each row's best similarity with one block of targets.
-
-    With `elected` the targets are rows of the same table: only earlier ones count, and a
-    target stands for itself.
-    """
+def _improve(state: DataFrame, ids: list[str], units: np.ndarray) -> DataFrame:
+    """Raise each row's best similarity with one block of targets."""
     shared = state.sparkSession.sparkContext.broadcast((np.array(ids, dtype=object), units))
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,14 +69,9 @@ def _improve(state: DataFrame, ids: list[str], units: np.ndarray, elected: bool)
                 yield pdf
                 continue
             sims = _unit(np.stack(pdf["vector"].to_numpy()).astype("float64")) @ targets.T
-            if elected:
-                own = pdf["id"].to_numpy(dtype=object)[:, None]
-                sims[names[None, :] > own] = -np.inf
-                sims[names[None, :] == own] = np.inf
             where = sims.argmax(axis=1)
             top = sims[np.arange(len(pdf)), where]
             better = top > pdf["best"].to_numpy(dtype="float64")
-            top = np.where(np.isinf(top), 1.0, top)
             yield pdf.assign(best=np.where(better, top, pdf["best"]),
                              leader=np.where(better, names[where], pdf["leader"]))
 
@@ -93,36 +85,8 @@ def _start(vectors: DataFrame) -> DataFrame:
 
 
 def leader_clusters(vectors: DataFrame, threshold: float = 0.92, block: int = BLOCK) -> DataFrame:
-    """(id, leader, similarity): fixed-leader clusters in id order.
-
-    A row is a leader iff no earlier leader reaches the threshold; any other row joins its
-    most similar earlier leader. Each round takes the next `block` uncovered rows, elects
-    the leaders among them and shows these to every later row at once. So the number of
-    rounds follows the number of leaders, not of rows, and the driver holds one block.
-    """
-    spark = vectors.sparkSession
-    state = stage(_start(vectors), "leaders")
-    decided = []
-    while True:
-        rows = state.filter(F.col("best") < threshold).orderBy("id").limit(block).collect()
-        if not rows:
-            break
-        units = _unit(np.array([r["vector"] for r in rows], dtype="float64"))
-        chosen: list[int] = []
-        for i in range(len(rows)):
-            if not chosen or (units[chosen] @ units[i]).max() < threshold:
-                chosen.append(i)
-        ids = [rows[i]["id"] for i in chosen]
-        state = stage(_improve(state, ids, units[chosen], elected=True), "leaders")
-        # rows up to the last candidate have now met every leader before them
-        done = F.col("id") <= rows[-1]["id"]
-        decided.append(state.filter(done))
-        state = state.filter(~done)
-    decided.append(state)
-    out = decided[0]
-    for part in decided[1:]:
-        out = out.unionByName(part)
-    return out.select("id", "leader", F.col("best").alias("similarity"))
+    """(id, leader, similarity): fixed-leader clusters in id order, see `similarity.fixed_leaders`."""
+    return fixed_leaders(vectors.select(F.col("id").cast("string").alias("id"), "vector"), threshold, block)
 
 
 def best_match(vectors: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -131,7 +95,7 @@ def best_match(vectors: DataFrame, targets: DataFrame, block: int = BLOCK) -> Da
     named = targets.select(F.col("id").cast("string").alias("id"),
                            F.col("vector").cast("array<double>").alias("vector"))
     for n, (ids, rows) in enumerate(_blocks(named, block)):
-        state = _improve(state, ids, _unit(rows), elected=False)
+        state = _improve(state, ids, _unit(rows))
         if n % 16 == 15:
             state = stage(state, "matches")
     return state.select("id", "leader", F.col("best").alias("similarity"))

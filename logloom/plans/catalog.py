@@ -20,6 +20,7 @@ from logloom.operators import pairing as pair
 from logloom.operators import projects as pj
 from logloom.operators import session_stats as st
 from logloom.operators import sessions as ses
+from logloom.operators import similarity as sim
 from logloom.operators import synopsis as syn
 from logloom.operators import timeline as tl
 from logloom.plans import report as rep
@@ -27,8 +28,8 @@ from logloom.plans.bindings import event_log_lines, read_table
 from logloom.plans.staging import stage
 from logloom.sources import export
 from logloom.plans.event_store import INACTIVITY, EventStore, event_store
-from logloom.plans.log_queries import LOG_QUERIES
-from logloom.plans.log_store import LogStore, log_store
+from logloom.plans.log_queries import GROWN_QUERIES, LOG_QUERIES
+from logloom.plans.log_store import GrownStore, LogStore, grown_store, log_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -666,6 +667,12 @@ def leader_clusters(embeddings):
     return clu.leader_clusters(_vectors(embeddings), SIMILAR)
 
 
+@on_table("embeddings")
+def similarity_links(embeddings):
+    """How many other vectors each vector is similar to, with equal vectors as one class."""
+    return sim.similarity_links(_vectors(embeddings), SIMILAR)
+
+
 @on_table("embeddings")
 def leader_cluster_sizes(embeddings):
     return clu.cluster_sizes(clu.leader_clusters(_vectors(embeddings), SIMILAR))
@@ -750,5 +757,11 @@ def _on_logs(f: Callable[[LogStore], DataFrame]) -> Query:
     return lambda spark, folder: tidy(f(log_store(spark, folder)))
 
 
+def _on_grown_logs(f: Callable[[GrownStore], DataFrame]) -> Query:
+    return lambda spark, folder: tidy(f(grown_store(spark, folder)))
+
+
 for _f in LOG_QUERIES:
     QUERIES[_f.__name__] = _on_logs(_f)
+for _f in GROWN_QUERIES:
+    QUERIES[_f.__name__] = _on_grown_logs(_f)

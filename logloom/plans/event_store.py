@@ -97,16 +97,16 @@ class EventStore:
 _open: dict[tuple, EventStore] = {}
 
 
-def _fingerprint(spark: SparkSession, folder: str) -> tuple:
-    """Changes when the event files change; a listing, no content is read."""
-    files = spark.read.format("binaryFile").load(f"{folder}/events.parquet")
+def file_state(spark: SparkSession, folder: str, table: str) -> tuple:
+    """Changes when the files of a table change; a listing, no content is read."""
+    files = spark.read.format("binaryFile").load(f"{folder}/{table}.parquet")
     row = files.agg(F.count("*"), F.sum("length"), F.max("modificationTime")).first()
     return tuple(row)
 
 
 def event_store(spark: SparkSession, folder: str) -> EventStore:
     """The store of a folder, kept as long as its session and its input files stay the same."""
-    key = (spark.sparkContext.applicationId, folder, _fingerprint(spark, folder))
+    key = (spark.sparkContext.applicationId, folder, file_state(spark, folder, "events"))
     if key not in _open:
         _open[key] = EventStore(spark, folder)
     return _open[key]

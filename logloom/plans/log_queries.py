@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.plans.log_store import LogStore, session_of
+from logloom.plans.log_store import GrownStore, LogStore, session_of
 from logloom.schemas import explode_blocks
 
 S = "session_id"
@@ -79,6 +79,29 @@ def log_lineage_b(s: LogStore) -> DataFrame:
     return s.done_b.lineage.select(S, "parent_session_id", "root_session_id")
 
 
+def log_grown_runs(s: GrownStore) -> DataFrame:
+    """A run over the first lines, and one that reads grown files on and a rewritten one whole."""
+    rows = [(n, r.parsed, r.skipped, r.errors, r.resumed) for n, r in enumerate(s.runs)]
+    return s.spark.createDataFrame(rows, "run bigint, parsed bigint, skipped bigint, errors bigint, resumed bigint")
+
+
+def log_grown_compactions(s: GrownStore) -> DataFrame:
+    return log_compactions(s)
+
+
+def log_grown_sessions(s: GrownStore) -> DataFrame:
+    return log_sessions(s)
+
+
+def log_grown_messages(s: GrownStore) -> DataFrame:
+    """Messages as they are kept by file, before prompts are matched."""
+    kept = [s.table(f"file_messages_{name}").select(session_of(F.col("source_path")).alias("session"), "line_no")
+            for name in ("rendered_a", "rendered_b")]
+    return kept[0].unionByName(kept[1]).groupBy("session").agg(
+        F.count("*").alias("messages"), F.sum("line_no").alias("line_sum"))
+
+
+GROWN_QUERIES = [log_grown_runs, log_grown_compactions, log_grown_sessions, log_grown_messages]
 LOG_QUERIES = [log_files, log_ingest_runs, log_ingest_errors, log_messages_a, log_inferred_times, log_results_a,
                log_compactions, log_sessions, log_compact_counts, log_messages_b, log_results_b, log_diagnostics_b,
                log_lineage_b]

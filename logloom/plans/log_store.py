@@ -1,9 +1,10 @@
 """Log files rendered from ordinary tables, and the tables an ingest run makes of them.
 
 `events` become files of format A, `conversations` files of format B. Both cover their whole
-table; rows are dealt over a fixed number of sessions, one file each, so files grow with the
-data. The lines carry the odd forms that readers have to accept: missing and numeric-looking
-fields, unknown roles and kinds, repeated prompts, blank and broken lines.
+table; rows are dealt over sessions, one file each, whose number grows with the rows, so that no
+file gets long and writing and reading have as many tasks as the data asks for. The lines carry
+the odd forms that readers have to accept: missing and numeric-looking fields, unknown roles and
+kinds, repeated prompts, blank and broken lines.
 
 The files are written as text under the shared folder; the session is the folder of a file.
 """
@@ -19,17 +20,21 @@ from pyspark.sql import functions as F
 
 from logloom.functions.dates import iso_text, ntz_micros
 from logloom.plans.bindings import read_table
-from logloom.plans.ingest import IngestResult, ingest
+from logloom.plans.event_store import file_state
+from logloom.plans.ingest import IngestResult, delete_session, ingest
 from logloom.plans.staging import shared_folder, stage
 from logloom.sources.format_a import Normalized, normalize_a
-from logloom.sources.format_b import normalize_b
-from logloom.sources.registry import LogFormat, log_format, register_format
-from logloom.sources.scan import scan_logs
+from logloom.sources.format_b import convert_b, finish_b, normalize_b
+from logloom.sources.registry import LogFormat, as_they_are, log_format, register_format
+from logloom.sources.scan import list_files, scan_logs
 from logloom.sources.store import TableStore
 
-SESSIONS_A, SESSIONS_B = 40, 50
+#: Least number of sessions of each format, and rows of a table for which there is one more.
+SESSIONS_A, SESSIONS_B, ROWS_A_SESSION = 40, 50, 2_500
 #: The session of format A whose file gets a broken line.
 BROKEN = SESSIONS_A - 1
+#: In the grown store: the session of format A whose file is written anew, and the one that is deleted.
+REWRITTEN, DELETED = "a2", "a1"
 FIRST_TURN_US = 1_767_225_600_000_000  # 2026-01-01T00:00:00Z
 
 
@@ -44,12 +49,21 @@ def _folder_session(done: Normalized) -> Normalized:
                       done.errors, done.lineage, done.diagnostics)
 
 
+def _rendered_a(lines: DataFrame) -> Normalized:
+    return _folder_session(normalize_a(lines, "rendered_a"))
+
+
 RENDERED_A = register_format(LogFormat(
-    "rendered_a", "*.txt", lambda path: path.contains("/session="),
-    lambda lines: _folder_session(normalize_a(lines, "rendered_a"))))
+    "rendered_a", "*.txt", lambda path: path.contains("/session="), _rendered_a,
+    convert=_rendered_a, finish=as_they_are))
 RENDERED_B = register_format(LogFormat(
     "rendered_b", "*.txt", lambda path: path.contains("/session="),
-    lambda lines: normalize_b(lines, "rendered_b"), reports_file_size=False))
+    lambda lines: normalize_b(lines, "rendered_b"), reports_file_size=False,
+    convert=lambda lines: convert_b(lines, "rendered_b"), finish=finish_b))
+
+
+def session_count(rows: DataFrame, least: int) -> int:
+    return max(least, rows.count() // ROWS_A_SESSION)
 
 
 def _json(**fields: Column) -> Column:
@@ -59,11 +73,12 @@ def _json(**fields: Column) -> Column:
 
 def lines_a(events: DataFrame) -> DataFrame:
     """(session, place, value) of format A; `place` orders the lines of a file."""
-    n, kind = F.col("event_id"), F.col("event_type")
+    n, kind, sessions = F.col("event_id"), F.col("event_type"), session_count(events, SESSIONS_A)
     reply = kind.isin("view", "click")
     e = events.select("event_id", "event_type", "props", ntz_micros(F.col("ts")).alias("ts_us"),
                       F.round("value").cast("bigint").alias("amount"),
-                      F.concat(F.lit("a"), (F.col("user_id") % SESSIONS_A).cast("string")).alias("session"))
+                      F.concat(F.lit("a"), ((F.floor(n / 8) * 31 + F.col("user_id")) % sessions).cast("string"))
+                      .alias("session"))
     call = _json(type=F.lit("tool_use"), id=(n % 5).cast("string"),
                  name=F.concat(F.lit("tool_"), (n % 7).cast("string")), input=F.struct(F.col("props").alias("q")))
     flag = (F.when(n % 6 == 0, F.lit('"yes"')).when(n % 6 == 1, F.lit("1")).when(n % 6 == 2, F.lit("false"))
@@ -100,7 +115,7 @@ def lines_a(events: DataFrame) -> DataFrame:
 
 def lines_b(conversations: DataFrame) -> DataFrame:
     """(session, place, value) of format B."""
-    group = F.col("conv_id") % SESSIONS_B
+    group = F.col("conv_id") % session_count(conversations, SESSIONS_B)
     place = F.col("conv_id") * 64 + F.col("turn")
     t = conversations.select(
         F.concat(F.lit("b"), group.cast("string")).alias("session"), place.alias("place"), "turn", "role",
@@ -149,7 +164,48 @@ def lines_b(conversations: DataFrame) -> DataFrame:
 def write_files(lines: DataFrame, folder: str) -> None:
     """One text file per session, in a folder named after it."""
     (lines.repartition("session").sortWithinPartitions("session", "place").select("session", "value")
-     .write.partitionBy("session").text(folder))
+     .write.mode("append").partitionBy("session").text(folder))
+
+
+def early(lines: DataFrame, per: int) -> Column:
+    """Whether a line is of the first two thirds of the places; `per` lines share one."""
+    last = lines.agg(F.max(F.floor(F.col("place") / per))).first()[0] or 0
+    return F.floor(F.col("place") / per) <= last * 2 // 3
+
+
+def grow_files(lines: DataFrame, folder: str, fmt: LogFormat) -> None:
+    """Add lines to the ends of the sessions' files, which lie in a folder that all tasks can open.
+
+    A task that runs again cuts the file back to its size of before. The file of REWRITTEN is
+    emptied first; sessions without a file get one.
+    """
+    files = stage(list_files(lines.sparkSession, folder, fmt).select(
+        session_of(F.col("file_path")).alias("session"), "file_path",
+        F.when(session_of(F.col("file_path")) == REWRITTEN, 0).otherwise(F.col("file_size")).alias("size")), "files")
+    write_files(lines.join(files, "session", "left_anti"), folder)
+
+    def run(batches):
+        import os
+
+        path, out = None, None
+        for batch in batches:
+            for own, size, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != path:
+                    if out:
+                        out.close()
+                    path, out = own, open(own, "r+b")  # noqa: SIM115
+                    checksum = os.path.join(os.path.dirname(own), f".{os.path.basename(own)}.crc")
+                    if os.path.exists(checksum):  # of the file as it was written
+                        os.remove(checksum)
+                    out.truncate(size)
+                    out.seek(size)
+                out.write(value.encode() + b"\n")
+            yield batch.slice(0, 0).select(["file_path"])
+        if out:
+            out.close()
+
+    (lines.join(files, "session").repartition("session").sortWithinPartitions("session", "place")
+     .select("file_path", "size", "value").mapInArrow(run, "file_path string").count())
 
 
 @dataclass
@@ -195,12 +251,50 @@ class LogStore:
         return done
 
 
-_open: dict[tuple[str, str], LogStore] = {}
+class GrownStore(LogStore):
+    """Files ingested when they hold two thirds of their lines, grown, ingested again; then a session is deleted.
 
+    The file of one session is written anew in between, with its later lines only.
+    """
 
-def log_store(spark: SparkSession, folder: str) -> LogStore:
-    """The store of a folder, kept for the session."""
-    key = (spark.sparkContext.applicationId, folder)
+    @cached_property
+    def _lines(self) -> list[tuple[str, LogFormat, DataFrame, int]]:
+        a = stage(lines_a(read_table(self.spark, self.folder, "events")), "lines-a")
+        b = stage(lines_b(read_table(self.spark, self.folder, "conversations")), "lines-b")
+        return [("a", RENDERED_A, a, 4), ("b", RENDERED_B, b, 8)]
+
+    @cached_property
+    def root(self) -> str:
+        root = f"{shared_folder(self.spark)}/logs-{uuid.uuid4().hex}"
+        for name, _, lines, per in self._lines:
+            write_files(lines.filter(early(lines, per)), f"{root}/{name}")
+        return root
+
+    @cached_property
+    def runs(self) -> list[IngestResult]:
+        first = self._run()
+        for name, fmt, lines, per in self._lines:
+            grow_files(lines.filter(~early(lines, per)), f"{self.root}/{name}", fmt)
+        found = [first, self._run()]
+        delete_session(self._store, DELETED)
+        return found
+
+
+_open: dict[tuple, LogStore] = {}
+
+
+def _opened(kind: type[LogStore], spark: SparkSession, folder: str) -> LogStore:
+    key = (kind, spark.sparkContext.applicationId, folder,
+           *(file_state(spark, folder, name) for name in ("events", "conversations")))
     if key not in _open:
-        _open[key] = LogStore(spark, folder)
+        _open[key] = kind(spark, folder)
     return _open[key]
+
+
+def log_store(spark: SparkSession, folder: str) -> LogStore:
+    """The store of a folder, kept as long as its session and its input files stay the same."""
+    return _opened(LogStore, spark, folder)
+
+
+def grown_store(spark: SparkSession, folder: str) -> GrownStore:
+    return _opened(GrownStore, spark, folder)

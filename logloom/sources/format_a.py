@@ -28,6 +28,7 @@ class Normalized:
     errors: DataFrame
     lineage: DataFrame | None = None
     diagnostics: DataFrame | None = None
+    facts: DataFrame | None = None
 
 
 def coerce_role(raw: Column, line_type: Column) -> Column:

@@ -18,6 +18,7 @@ from logloom.plans.staging import stage
 from logloom.schemas import BLOCK
 from logloom.sources import variants as js
 from logloom.sources.format_a import NO_BLOCKS, Normalized, file_stem, rejected_files, string_block
+from logloom.sources.prompts import PIECE, match_prompts
 
 # Envelope types that are kept.
 TOP_TYPES = ["session_meta", "response_item", "event_msg", "turn_context", "compacted"]
@@ -283,54 +284,23 @@ def _to_messages(rows: DataFrame, ecosystem: str) -> DataFrame:
     )
 
 
-def dedupe_prompts(messages: DataFrame, window_seconds: float = 2.0) -> DataFrame:
+def dedupe_prompts(messages: DataFrame, window_seconds: float = 2.0, piece: int = PIECE) -> DataFrame:
     """Drop prompts that came over both channels within the window.
 
-    The event-channel copy wins and takes the place of the other one. Only prompts of the
-    same text in neighbouring time slots can meet, so runs of such slots are found on
-    aggregated rows and just the runs that hold both channels are folded.
+    The event-channel copy wins and takes the place of the other one. Only prompts of one file and
+    text that came over both channels can meet; see `prompts` for the rule.
     """
-    width = int(window_seconds * SECOND)
     only = F.try_element_at("blocks", F.lit(1))
     text = F.when((F.size("blocks") == 1) & (only["block_type"] == "string"), only["text"])
     prompts = messages.filter(
         F.col("channel").isNotNull() & (F.col("record_type") == "user") & (F.col("role") == "user")
         & F.col("ts_us").isNotNull()
-    ).select("source_path", "line_no", "ts_us", "channel", prompt_key(text).alias("k")).filter(
-        F.length("k") > 0).withColumns({
-            "k": F.sha2("k", 256), "slot": F.floor(F.col("ts_us") / F.lit(width))})
+    ).select("source_path", "line_no", "ts_us", (F.col("channel") == "event").alias("event"), prompt_key(text).alias("k")).filter(
+        F.length("k") > 0).withColumn("k", F.sha2("k", 256))
     keys = ["source_path", "k"]
-    slots = prompts.groupBy(*keys, "slot").agg(
-        F.max((F.col("channel") == "event").cast("int")).alias("e"),
-        F.max((F.col("channel") == "item").cast("int")).alias("i"))
-    by_slot = Window.partitionBy(*keys).orderBy("slot")
-    fresh = F.when(F.col("slot") - F.lag("slot").over(by_slot) <= 1, 0).otherwise(1)
-    runs = slots.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by_slot))
-    whole = Window.partitionBy(*keys, "run")
-    mixed = runs.withColumn("both", F.max("e").over(whole) + F.max("i").over(whole)).filter(
-        F.col("both") == 2).select(*keys, "slot", "run")
-
-    row = F.struct("line_no", "ts_us", "channel", F.col("line_no").alias("place"))
-    groups = prompts.join(mixed, [*keys, "slot"]).groupBy(*keys, "run").agg(
-        F.array_sort(F.collect_list(row)).alias("rows"))
-
-    def fold(kept: Column, x: Column) -> Column:
-        hits = F.filter(kept, lambda a: (a["channel"] != x["channel"])
-                        & (F.abs(a["ts_us"] - x["ts_us"]) <= width))
-        hit = F.try_element_at(hits, F.lit(-1))
-        swap = F.transform(kept, lambda a: F.when(a["place"] == hit["place"], F.struct(
-            x["line_no"].alias("line_no"), x["ts_us"].alias("ts_us"),
-            x["channel"].alias("channel"), a["place"].alias("place"))).otherwise(a))
-        return (F.when(F.size(hits) == 0, F.concat(kept, F.array(x)))
-                .when(x["channel"] == "event", swap).otherwise(kept))
-
-    kept = F.aggregate("rows", F.slice("rows", 1, 0), fold)
-    moved = groups.select("source_path", "rows", kept.alias("kept")).select(
-        "source_path", "kept", F.explode("rows.line_no").alias("line_no"))
-    mine = F.try_element_at(F.filter("kept", lambda a: a["line_no"] == F.col("line_no")), F.lit(1))
-    moves = moved.select("source_path", "line_no", mine["place"].alias("_place"),
-                         F.lit(True).alias("_seen")).filter(
-        F.col("_place").isNull() | (F.col("_place") != F.col("line_no")))
+    both = prompts.groupBy(*keys).agg(F.max("event").alias("e"), F.min("event").alias("i")).filter("e and not i").select(*keys)
+    moves = match_prompts(prompts.join(both, keys), int(window_seconds * SECOND), piece).select(
+        "source_path", "line_no", F.col("place").alias("_place"), F.lit(True).alias("_seen"))
     out = messages.join(moves, ["source_path", "line_no"], "left").filter(
         F.col("_seen").isNull() | F.col("_place").isNotNull())
     return out.withColumn("line_no", F.coalesce("_place", "line_no")).select(*messages.columns)
@@ -400,24 +370,42 @@ def drop_samples(lines: DataFrame, sample_limit: int = 12) -> DataFrame:
         F.col("n") <= sample_limit).drop("n", "known")
 
 
-def normalize_b(lines: DataFrame, ecosystem: str = "format_b",
-                window_seconds: float = 2.0) -> Normalized:
-    """Messages, lineage and diagnostics from lines (source_path, line_no, value or v + kind)."""
+def _converted(lines: DataFrame, ecosystem: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Events of the files that are read, their messages, the rejected files and the facts of the others."""
     events = _events(lines).withColumn("mapped", F.when(F.col("known"), _mapping()))
     flagged = events.withColumn("kept", F.col("mapped").isNotNull())
     errors = rejected_files(flagged)
     good = flagged.join(errors.select("source_path"), "source_path", "left_anti")
-    # written once: the dedupe, the counts and the caller all read the converted messages
-    before = stage(_to_messages(good.filter("kept"), ecosystem), "converted")
+    return good, _to_messages(good.filter("kept"), ecosystem), errors, file_facts(good)
+
+
+def _no_compacts(messages: DataFrame) -> DataFrame:
+    return messages.limit(0).select("ecosystem", "source_path", "session_id", "line_no", "timestamp", "ts_us",
+                                    F.lit("").alias("trigger"), F.lit(0).cast("bigint").alias("pre_tokens"))
+
+
+def convert_b(lines: DataFrame, ecosystem: str = "format_b") -> Normalized:
+    """Line by line: messages before the prompt dedupe, and facts of the files."""
+    _, before, errors, facts = _converted(lines, ecosystem)
+    return Normalized(before, _no_compacts(before.withColumn("session_id", F.col("path_id"))), errors, facts=facts)
+
+
+def finish_b(before: DataFrame, facts: DataFrame, window_seconds: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """Messages and lineage of whole files from their converted lines and facts."""
     after = dedupe_prompts(before, window_seconds)
-    facts = file_facts(good)
     messages = after.join(facts.select("source_path", "meta_id"), "source_path", "left").withColumn(
         "session_id", F.coalesce("meta_id", "path_id")).drop("meta_id", "path_id", "channel")
     own = uuid_tail(file_stem(F.col("source_path")))
-    lineage = facts.select(F.coalesce("meta_id", own).alias("session_id"), "parent_session_id",
-                           "root_session_id")
-    compacts = messages.limit(0).select("ecosystem", "source_path", "session_id", "line_no", "timestamp",
-                                        "ts_us", F.lit("").alias("trigger"),
-                                        F.lit(0).cast("bigint").alias("pre_tokens"))
-    return Normalized(messages, compacts, errors, lineage,
-                      diagnose(good, before, after))
+    return messages, facts.select(F.coalesce("meta_id", own).alias("session_id"), "parent_session_id",
+                                  "root_session_id")
+
+
+def normalize_b(lines: DataFrame, ecosystem: str = "format_b",
+                window_seconds: float = 2.0) -> Normalized:
+    """Messages, lineage and diagnostics from lines (source_path, line_no, value or v + kind)."""
+    good, before, errors, facts = _converted(lines, ecosystem)
+    # written once: the dedupe, the counts and the caller all read the converted messages
+    before = stage(before, "converted")
+    messages, lineage = finish_b(before, facts, window_seconds)
+    return Normalized(messages, _no_compacts(messages), errors, lineage,
+                      diagnose(good, before, messages))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.sources.format_a import Normalized, normalize_a
-from logloom.sources.format_b import normalize_b
+from logloom.sources.format_b import convert_b, finish_b, normalize_b
 
 
 @dataclass(frozen=True)
@@ -21,6 +21,10 @@ class LogFormat:
     wanted: Callable[[Column], Column]
     normalize: Callable[[DataFrame], Normalized]
     reports_file_size: bool = True
+    #: For files that are read on from a byte: messages and facts line by line, and what is left to do
+    #: with all messages of a file. Without them a changed file is read whole.
+    convert: Callable[[DataFrame], Normalized] | None = None
+    finish: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame | None]] | None = None
 
 
 _formats: dict[str, LogFormat] = {}
@@ -45,6 +49,11 @@ def _session_file(path: Column) -> Column:
     return ~path.contains("/subagents/") & ~path.rlike(r"/history\.jsonl\z")
 
 
-register_format(LogFormat("format_a", "*.jsonl", _session_file, normalize_a))
+def as_they_are(messages: DataFrame, facts: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The finish of formats whose lines need no others."""
+    return messages, None
+
+
+register_format(LogFormat("format_a", "*.jsonl", _session_file, normalize_a, convert=normalize_a, finish=as_they_are))
 register_format(LogFormat("format_b", "rollout-*.jsonl", lambda path: F.lit(True), normalize_b,
-                          reports_file_size=False))
+                          reports_file_size=False, convert=convert_b, finish=finish_b))

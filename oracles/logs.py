@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-_A = r"""
+_EV = r"""
     ev AS (
-        SELECT event_id AS n, 'a' || (user_id % 40) AS session_id, event_type AS kind, props,
+        SELECT event_id AS n, 'a' || ((event_id // 8 * 31 + user_id) % (SELECT greatest(40, count(*) // 2500) FROM events))
+               AS session_id, event_type AS kind, props,
                event_type IN ('view', 'click') AS reply, CAST(round(value) AS BIGINT) AS amount, epoch_us(ts) AS ts_us
-        FROM events),
+        FROM events),"""
+
+_REST_A = r"""
     raw_a AS (
         SELECT *, 'blank' AS what, 0 AS ord FROM ev WHERE n % 37 = 0
         UNION ALL SELECT *, 'main', 1 FROM ev
@@ -28,12 +31,14 @@ _A = r"""
                CASE WHEN kind NOT IN ('purchase', 'error') THEN NULL
                     WHEN n % 6 IN (0, 1) THEN 'true' WHEN n % 6 IN (2, 5) THEN 'false' ELSE 'unknown' END AS flag
         FROM roles_a)"""
+_A = _EV + _REST_A
 
 _B = r"""
     turns AS (
-        SELECT 'b' || (conv_id % 50) AS session_id, conv_id % 50 AS number, conv_id * 64 + turn AS place, turn, role,
-               role = 'user' AS usr
-        FROM conversations),
+        SELECT 'b' || number AS session_id, *
+        FROM (SELECT conv_id % (SELECT greatest(50, count(*) // 2500) FROM conversations) AS number,
+                     conv_id * 64 + turn AS place, turn, role, role = 'user' AS usr
+              FROM conversations)),
     heads AS (SELECT DISTINCT session_id, number FROM turns),
     raw_b AS (
         SELECT session_id, -1 AS place, NULL AS turn, 'user' AS role, 'session_meta' AS what, 0 AS ord FROM heads
@@ -54,6 +59,16 @@ _B = r"""
                CASE WHEN number % 5 > 0 AND number % 2 = 0 THEN 'b' || (number - number % 5) END AS root_session_id
         FROM heads)"""
 
+# the grown store: a39 breaks when it grows and keeps its first lines, a2 is written anew with its later ones
+_GROWN_A = (_EV.replace("ev AS", "every_event AS") + r"""
+    cut_a AS (SELECT max(n) * 2 // 3 AS c FROM every_event),
+    ev AS (
+        SELECT e.* FROM every_event e, cut_a
+        WHERE NOT (session_id = 'a2' AND n <= c) AND NOT (session_id = 'a39' AND n > c)),"""
+            + _REST_A.replace("WHERE session_id <> 'a39' AND what", "WHERE what"))
+_CUT_B = r"""
+    cut_b AS (SELECT max(place) * 2 // 3 AS c FROM turns)"""
+
 _ALL = f"""
     files AS (SELECT DISTINCT 'rendered_a' AS ecosystem, session_id AS session FROM ev
               UNION ALL SELECT 'rendered_b', session_id FROM heads)"""
@@ -65,7 +80,41 @@ def _with(*parts: str) -> str:
 
 def statements() -> dict[str, str]:
     a, b, both = _with(_A), _with(_B), _with(_A, _B, _ALL)
+    grown = _with(_GROWN_A, _B, _CUT_B)
+    # an id whose results come before any call of it counts as one call
+    sessions = """
+            SELECT 'rendered_a' AS ecosystem, session_id, NULL AS parent_session_id, NULL AS root_session_id,
+                   session_id AS logical_session_id, count(*) AS total_messages,
+                   CAST(coalesce(sum(tin + tout), 0) AS BIGINT) AS total_tokens,
+                   count(*) FILTER (kind = 'click') + count(DISTINCT n % 5) FILTER (orphan) AS total_tool_calls
+            FROM (SELECT *, kind IN ('purchase', 'error') AND coalesce(n < min(CASE WHEN kind = 'click' THEN n END)
+                         OVER (PARTITION BY session_id, n % 5), true) AS orphan FROM msg_a)
+            GROUP BY session_id
+            UNION ALL
+            SELECT 'rendered_b', session_id, any_value(parent_session_id), any_value(root_session_id),
+                   coalesce(any_value(root_session_id), any_value(parent_session_id), session_id), count(*),
+                   CAST(coalesce(sum(CASE WHEN what = 'tok' THEN turn * 11 END), 0) AS BIGINT),
+                   count(*) FILTER (what = 'call')
+            FROM msg_b JOIN link_b USING (session_id) GROUP BY session_id"""
     return {
+        "log_grown_runs": f"""{grown},
+            states AS (
+                SELECT session_id, bool_or(n <= c) AS one, bool_or(n > c) AS two FROM every_event, cut_a GROUP BY 1
+                UNION ALL
+                SELECT session_id, true, bool_or(place > c) FROM turns, cut_b GROUP BY 1)
+            SELECT 0 AS run, count(*) FILTER (one) AS parsed, 0 AS skipped, 0 AS errors, 0 AS resumed FROM states
+            UNION ALL
+            SELECT 1, count(*) FILTER (two AND session_id <> 'a39'), count(*) FILTER (NOT two AND session_id <> 'a39'),
+                   count(*) FILTER (session_id = 'a39'),
+                   count(*) FILTER (one AND (two OR session_id = 'a39') AND session_id <> 'a2') FROM states""",
+        "log_grown_compactions": f"""{grown}
+            SELECT session_id, line_no, 'auto' AS trigger, n AS pre_tokens
+            FROM lines_a WHERE what = 'compact' AND session_id <> 'a1'""",
+        "log_grown_sessions": f"{grown} SELECT * FROM ({sessions}) WHERE session_id <> 'a1'",
+        "log_grown_messages": f"""{grown}
+            SELECT session_id AS session, count(*) AS messages, CAST(sum(line_no) AS BIGINT) AS line_sum
+            FROM (SELECT session_id, line_no FROM msg_a UNION ALL SELECT session_id, line_no FROM before_b)
+            GROUP BY 1""",
         "log_files": f"""{both}
             SELECT ecosystem, session, CASE WHEN session = 'a39' THEN 'error' ELSE 'parsed' END AS parse_status,
                    'run' AS last_parsed_at FROM files""",
@@ -102,21 +151,7 @@ def statements() -> dict[str, str]:
                 SELECT session_id, 0 AS c FROM msg_a UNION ALL SELECT session_id, 0 FROM heads
                 UNION ALL SELECT session_id, 1 FROM lines_a WHERE what = 'compact' AND session_id <> 'a39')
             GROUP BY 1""",
-        # an id whose results come before any call of it counts as one call
-        "log_sessions": f"""{both}
-            SELECT 'rendered_a' AS ecosystem, session_id, NULL AS parent_session_id, NULL AS root_session_id,
-                   session_id AS logical_session_id, count(*) AS total_messages,
-                   CAST(coalesce(sum(tin + tout), 0) AS BIGINT) AS total_tokens,
-                   count(*) FILTER (kind = 'click') + count(DISTINCT n % 5) FILTER (orphan) AS total_tool_calls
-            FROM (SELECT *, kind IN ('purchase', 'error') AND coalesce(n < min(CASE WHEN kind = 'click' THEN n END)
-                         OVER (PARTITION BY session_id, n % 5), true) AS orphan FROM msg_a)
-            GROUP BY session_id
-            UNION ALL
-            SELECT 'rendered_b', session_id, any_value(parent_session_id), any_value(root_session_id),
-                   coalesce(any_value(root_session_id), any_value(parent_session_id), session_id), count(*),
-                   CAST(coalesce(sum(CASE WHEN what = 'tok' THEN turn * 11 END), 0) AS BIGINT),
-                   count(*) FILTER (what = 'call')
-            FROM msg_b JOIN link_b USING (session_id) GROUP BY session_id""",
+        "log_sessions": both + sessions,
         "log_messages_b": f"""{b}
             SELECT session_id, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS record_type, role,
                    count(*) AS messages, CAST(sum(line_no) AS BIGINT) AS line_sum,

@@ -52,6 +52,29 @@ def night(start: str, span: str) -> str:
     return f"({night_before(f'{start} + {span}')} - {night_before(start)})"
 
 
+#: Vectors in id order, each a leader unless an earlier leader is similar.
+_LEADERS = """
+      WITH RECURSIVE x AS (
+        SELECT lpad(CAST(vec_id AS VARCHAR), 12, '0') AS id, embedding::DOUBLE[] AS e FROM embeddings),
+      near AS (
+        SELECT a.id AS earlier, b.id, list_cosine_similarity(a.e, b.e) AS similarity
+        FROM x a JOIN x b ON a.id < b.id AND list_cosine_similarity(a.e, b.e) >= 0.3),
+      places AS (
+        SELECT id, row_number() OVER (ORDER BY id) AS place,
+               coalesce((SELECT list(earlier) FROM near WHERE near.id = x.id), []) AS known FROM x),
+      elected(place, leaders) AS (
+        SELECT 0::BIGINT, []::VARCHAR[]
+        UNION ALL
+        SELECT p.place, CASE WHEN list_has_any(leaders, known) THEN leaders ELSE list_append(leaders, id) END
+        FROM elected e JOIN places p ON p.place = e.place + 1),
+      leaders AS (SELECT unnest(leaders) AS id FROM elected WHERE place = (SELECT max(place) FROM elected)),
+      members AS (
+        SELECT id, id AS leader, 1.0::DOUBLE AS similarity FROM leaders
+        UNION ALL
+        SELECT n.id, earlier, round(similarity, 4) FROM near n JOIN leaders l ON l.id = earlier
+        WHERE n.id NOT IN (SELECT id FROM leaders)
+        QUALIFY row_number() OVER (PARTITION BY n.id ORDER BY similarity DESC, earlier) = 1)"""
+
 _SPAN = "CASE WHEN duration_us > 0 THEN duration_us ELSE span_us END"
 _NIGHT = f"coalesce({night('created_us', _SPAN)} / nullif({_SPAN}, 0), 0)"
 
@@ -580,6 +603,13 @@ RAW = {
       SELECT lpad(CAST(vec_id AS VARCHAR), 12, '0') AS id, CAST(leader AS VARCHAR) AS leader,
         round(similarity, 4) AS similarity
       FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, CAST(leader AS VARCHAR)) = 1""",
+    "leader_clusters": f"{_LEADERS} SELECT * FROM members",
+    "leader_cluster_sizes": f"{_LEADERS} SELECT leader, count(*) AS members FROM members GROUP BY 1",
+    "similarity_links": """
+      WITH x AS (SELECT lpad(CAST(vec_id AS VARCHAR), 12, '0') AS id, embedding::DOUBLE[] AS e FROM embeddings)
+      SELECT a.id, (SELECT min(c.id) FROM x c WHERE c.e = a.e) AS class_id, count(b.id) AS n_links
+      FROM x a LEFT JOIN x b ON a.id <> b.id AND list_cosine_similarity(a.e, b.e) >= 0.3
+      GROUP BY a.id, a.e""",
     "session_page_rows": """
       SELECT session_id, total_tokens FROM sessions ORDER BY total_tokens DESC, session_id DESC LIMIT 30 OFFSET 30""",
     "session_page_counts": """

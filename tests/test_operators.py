@@ -14,6 +14,7 @@ from logloom.operators.coverage import MINUTE, merge_intervals, union_measure
 from logloom.operators.pairing import pair_tools
 from logloom.operators.ranks import summarize
 from logloom.operators.segments import with_carried, with_neighbours
+from logloom.operators.similarity import similarity_links
 from logloom.operators.sessions import (
     BrowseFilters,
     automation_range,
@@ -199,3 +200,21 @@ def test_report_watermark(spark, tmp_path):
     assert not run_report(store, manual=False, now_iso="t1", send=lambda: False) and read_watermark(store) is None
     assert run_report(store, manual=True, now_iso="t1", send=lambda: True) and read_watermark(store) is None
     assert run_report(store, manual=False, now_iso="t2", send=lambda: True) and read_watermark(store) == "t2"
+
+
+@pytest.mark.parametrize("chunk", [7, 500])
+def test_similarity_links(spark, chunk):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(6, 8))
+    rows = np.stack([base[i % 6] + rng.normal(size=8) * 0.5 for i in range(120)])
+    rows[7] = rows[9] = rows[3]
+    rows[11] = 0
+    df = spark.createDataFrame([(f"{i:03d}", r.tolist()) for i, r in enumerate(rows)] + [("900", None), ("901", [])],
+                               "id string, vector array<double>")
+    u = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+    sims = u @ u.T
+    np.fill_diagonal(sims, -2)
+    want = {f"{i:03d}": ("003" if i in (7, 9) else f"{i:03d}", int((sims[i] >= 0.6).sum())) for i in range(120)}
+    got = {r.id: (r.class_id, r.n_links) for r in similarity_links(df, 0.6, chunk).collect()}
+    assert got == {**want, "900": ("900", 0), "901": ("901", 0)}
+    assert similarity_links(df.limit(0), 0.6).count() == 0
