@@ -4,9 +4,15 @@ A tree builder makes elements out of the tags, supplying end tags that HTML lets
 out; visibility rules decide which elements show; a renderer lays the rest out as text: blocks
 on lines of their own, paragraphs, headings, lists and tables set off by a blank line, list
 items with their marks and indented, preformatted text as written, and table cells padded so
-that columns line up. All visible text is emitted.
+that columns line up. All visible text is emitted, that of formulas and drawings inline.
 
-Hidden: what never shows (head, script, style, template, ...), `hidden`, `display:none`,
+Tables: cell lines above `PADDED` characters do not widen their column, and a line is padded only
+as long as blanks and bars are no more than three times its text and `PADDED`; else, and in tables
+of more than `COLUMNS` columns, its cells follow each other. So the text of a page is at most a
+small multiple of its markup.
+
+Hidden: what never shows (head, script, style, template, ...), the parts of formulas and drawings
+that are there for machines (annotation, desc, metadata, defs, symbol), `hidden`, `display:none`,
 `visibility:hidden` (until an element inside is visible again), closed `details` but for their
 summary, and closed dialogs. Elements nested deeper than `MAX_DEPTH` are laid out as if at that
 depth; their text stays.
@@ -27,11 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 120
+#: Longest line of a cell that others are padded to, and most columns that are lined up.
+PADDED, COLUMNS = 100, 100
 
 # HTML's fixed element groups.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NEVER_SHOWN = set("head title script style template noscript iframe object canvas audio video svg math datalist"
-                  " noframes".split())
+NEVER_SHOWN = set("head title script style template noscript iframe object canvas audio video datalist noframes"
+                  " annotation annotation-xml desc metadata defs symbol".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure"
             " footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre"
             " search section summary table caption tbody tfoot thead tr ul".split())
@@ -388,11 +396,21 @@ def table(element: Element, out: Layout, visible: bool) -> None:
             column += across
         rows.append(cells)
     used = sorted({c for cells in rows for c, lines in cells.items() if any(lines)})
-    width = {c: max(len(line) for cells in rows for line in cells.get(c, [""]) or [""]) for c in used}
+    width = dict.fromkeys(used, 0)
+    for cells in rows:
+        for c, lines in cells.items():
+            if c in width:
+                width[c] = max(width[c], *(len(line) for line in lines if len(line) <= PADDED), 0)
     for cells in rows:
         for k in range(max((len(lines) for lines in cells.values()), default=0)):
-            parts = [(cells.get(c, [])[k] if k < len(cells.get(c, [])) else "").ljust(width[c]) for c in used]
-            out.put(" | ".join(parts))
+            own = {c: lines[k] for c, lines in cells.items() if k < len(lines) and lines[k]}
+            close = " | ".join(own[c] for c in sorted(own))
+            if len(used) <= COLUMNS:
+                last = used.index(max(own)) + 1 if own else 0  # bars behind the last text but one are left out
+                line = " | ".join(own.get(c, "").ljust(width[c]) for c in used[:last + 1])
+                if len(line.rstrip()) <= 4 * len(close) + PADDED:
+                    close = line
+            out.put(close)
 
 
 def _wrap(element: Element, out: Layout, visible: bool) -> None:

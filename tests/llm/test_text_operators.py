@@ -377,3 +377,24 @@ def test_html_keeps_every_visible_word(spark):
         for mark in ("-", "|"):
             got.pop(mark, None), want.pop(mark, None)
         assert got == want
+
+
+@pytest.mark.parametrize("html,text", [
+    ("Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> end", "Let x=2 end"),
+    ("<p>See <svg><title>t</title><desc>d</desc><defs><text>no</text></defs><text>Label</text></svg> here", "See Label here"),
+    ("<table><tr><td>" + "w" * 300 + "<td>1<tr><td>short<td>2</table>", "w" * 300 + " | 1\nshort | 2"),
+    ("<table><tr><td>a<td>b<td>c<tr><td>d</table>", "a | b | c\nd |"),
+])
+def test_formulas_drawings_and_wide_tables(html, text):
+    assert html_text.extract(html) == text
+
+
+def test_text_of_a_page_is_a_small_multiple_of_it():
+    wide = "<table><tr>" + "<td>x" * 3000 + "</tr>" + "<tr><td>y</tr>" * 3000 + "</table>"
+    tall = "<table><tr><td>" + "word " * 9000 + "</td><td>z</td></tr>" + "<tr><td>a<td>b</tr>" * 3000 + "</table>"
+    late = "<table><tr>" + "<td>x" * 90 + "</tr>" + "<tr><td colspan=89><td>y</tr>" * 3000 + "</table>"
+    steps = "<table>" + "".join(f"<tr><td>{'v' * 99}<td>k" if k == 0 else "<tr><td><td>k" for k in range(3000)) + "</table>"
+    for page in (wide, tall, late, steps):
+        found = html_text.extract(page)
+        assert len(found) <= 12 * len(page) and found.count("\n") >= 2999
+    assert html_text.extract(wide).count("x") == 3000 and html_text.extract(tall).count("word") == 9000
