@@ -12,7 +12,7 @@ SAMPLE = ["time_attribution", "gap_rows", "tool_pairs", "tool_stats", "session_s
           "yield_and_throughput", "top_tools", "role_coverage", "project_swimlane", "expensive_operations",
           "timeline_density", "synopsis", "best_centroid", "log_lines_to_messages",
           "log_messages_a", "log_results_b", "log_grown_runs", "log_grown_sessions", "log_grown_compactions",
-          "log_grown_messages", "similarity_links", "leader_clusters", "leader_cluster_sizes"]
+          "log_grown_messages", "similarity_links", "leader_clusters"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
