@@ -4,7 +4,8 @@ The lower-cased UTF-8 text is cut into windows of `window` bytes, the last one f
 zeros. A byte embedding feeds filters of several widths; each filter keeps its maximum over the
 window; a softmax layer gives the language of the window. A document gets the mean over all its
 windows, weighted by their bytes. The network is trained in numpy on the driver with a bounded
-sample: at most `max_rows` labelled rows (smallest hash of the id), `per_text` windows of each.
+sample: at most `rows_a_language` labelled rows of each language (smallest hash of the id), `per_text`
+windows of each.
 
 When the network is applied, embedding and filters are folded into tables indexed by single
 bytes and byte pairs, so a filter's response is a sum of a few looked-up rows, for all windows
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -185,16 +186,23 @@ def _gradients(model: Network, cells: np.ndarray, sizes: np.ndarray, y: np.ndarr
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
-          usable: Callable[[Column], Column] | None = None, max_rows: int = 2_000, per_text: int = 4,
+          usable: Callable[[Column], Column] | None = None, rows_a_language: int = 500, per_text: int = 4,
           steps: int = 700) -> Network:
-    """Train on windows of at most max_rows labelled rows whose id is usable (not held out)."""
+    """Train on windows of at most rows_a_language labelled rows of each language whose id is usable (not held out).
+
+    Those with the smallest hash of their id are taken, so every language of the usable rows is a
+    class at every size of the table.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"),
                        F.col(text_col).alias("text"))
     known = rows.filter("id is not null and lang is not null and text is not null")
     if usable is not None:
         known = known.filter(usable(F.col("id")))
     order = [F.xxhash64("id"), F.col("id"), F.col("lang")]
-    chosen = known.select("id", "lang").orderBy(*order).limit(max_rows).dropDuplicates(["id"])
+    # tasks keep the first rows of a language before the shuffle, so a frequent one sends few
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    chosen = known.select("id", "lang").withColumn("nth", nth).filter(F.col("nth") <= rows_a_language)
+    chosen = chosen.groupBy("id").agg(F.min("lang").alias("lang"))
 
     @F.arrow_udf("array<binary>")
     def pick(texts: pa.Array) -> pa.Array:

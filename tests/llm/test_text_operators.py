@@ -398,3 +398,11 @@ def test_text_of_a_page_is_a_small_multiple_of_it():
         found = html_text.extract(page)
         assert len(found) <= 12 * len(page) and found.count("\n") >= 2999
     assert html_text.extract(wide).count("x") == 3000 and html_text.extract(tall).count("word") == 9000
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = [(i, f"the quick fox {i} runs over the hill and the dog {i}", "en") for i in range(600)]
+    rows += [(1000 + i, f"größer übung {i} straße schön für käse", "de") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs, rows_a_language=20, steps=60)
+    assert sorted(model.languages) == ["de", "en"]
