@@ -4,7 +4,7 @@ Each round hangs every node under the smallest node it can see, first its larger
 (large star), then its smaller ones (small star). Rounds are joins and combinable `min`
 aggregations; the links of a round are written to the shared folder, and the loop ends when a
 round changes nothing (same count, same sum of hashes). A round reads only the one before it, so
-older ones are deleted. No component is ever gathered.
+older ones are deleted. No component is ever gathered, and joins never broadcast.
 """
 
 from __future__ import annotations
@@ -15,16 +15,21 @@ from pyspark.sql import functions as F
 from logloom.plans.staging import discard, stage
 
 
+def sorted_side(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: by sort-merge it never passes through the driver."""
+    return side.hint("merge")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(sorted_side(least), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = down.join(sorted_side(least), "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 

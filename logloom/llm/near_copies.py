@@ -12,6 +12,8 @@ nearest earlier texts of the key only (the first and the last of those at the le
 group of n texts hands on 2 n proposals and no pairs of the group. Proposals are
 linked if the exact Jaccard similarity of their sets is `share` or more, and links form groups.
 
+Joins are sort-merge joins: no table that grows with the texts passes through the driver.
+
 Skew. Equal sets are one node. A key above `chunk` nodes is cut into chunks whose pairs are work
 items of their own. Sets of proposals meet under the later node; a node that more than `salted`
 others propose themselves to is copied to as many salts.
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.components import components
+from logloom.llm.components import components, sorted_side
 from logloom.llm.simhash import BITS, BUFFER_ROWS, Lanes, shingle_hashes, table_masks
 from logloom.llm.word_hashes import IDENTITY, Words, byte_ends, mix
 from logloom.plans.staging import stage
@@ -194,7 +196,7 @@ def proposals(nodes: DataFrame, prints: int, radius: int, share: Fraction, block
     many = (dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
             .select("t", "key", F.ceil(F.col("rows") / chunk).cast("long").alias("chunks")))
     own = F.pmod(F.xxhash64("id"), F.col("chunks"))
-    items = (dealt.join(many, ["t", "key"]).withColumn("own", own)
+    items = (dealt.join(sorted_side(many), ["t", "key"]).withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
              .filter((F.col("chunks") == 1) | (F.col("own") != F.col("other")))
              .select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "id", "n"))
@@ -222,11 +224,11 @@ def linked(pairs: DataFrame, sets: DataFrame, share: Fraction, salted: int = 409
     hubs = (pairs.groupBy("a").agg(F.count(F.lit(1)).alias("rows"))
             .select("a", F.ceil(F.col("rows") / salted).cast("long").alias("salts")))
     salt = F.pmod(F.xxhash64("b"), F.col("salts"))
-    dealt = pairs.join(hubs, "a").select("a", "b", salt.alias("salt"))
-    copied = (sets.join(hubs, sets["id"] == hubs["a"])
+    dealt = pairs.join(sorted_side(hubs), "a").select("a", "b", salt.alias("salt"))
+    copied = (sets.join(sorted_side(hubs), F.col("id") == F.col("a"))
               .select("a", F.col("hashes").alias("one"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")))
     later = sets.select(F.col("id").alias("b"), F.col("hashes").alias("two"))
-    whole = dealt.join(copied, ["a", "salt"]).join(later, "b").select("a", "b", "one", "two")
+    whole = dealt.join(sorted_side(copied), ["a", "salt"]).join(sorted_side(later), "b").select("a", "b", "one", "two")
     return whole.mapInArrow(_alike(share), "a long, b long")
 
 
@@ -244,12 +246,12 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: i
     """Pairs a, b of node ids that are alike: found by fingerprint, checked by their sets."""
     pairs = stage(proposals(nodes, prints, radius, share, block_count(nodes.count(), radius), chunk), "proposals")
     wanted = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-                   .join(nodes.select("id", "node", "least"), "id"), "wanted")
+                   .join(sorted_side(nodes.select("id", "node", "least")), "id"), "wanted")
     # only texts of wanted nodes are read again, one of each
     near = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    near = near.join(wanted.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+    near = near.join(sorted_side(wanted.select("least").distinct()), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
     sets = near.select("text").mapInArrow(_set_rows(size), "node binary, hashes binary")
-    sets = sets.join(wanted.select("id", "node"), "node").groupBy("id").agg(F.first("hashes").alias("hashes"))
+    sets = sets.join(sorted_side(wanted.select("id", "node")), "node").groupBy("id").agg(F.first("hashes").alias("hashes"))
     return stage(linked(pairs, stage(sets, "sets"), share), "alike")
 
 
@@ -258,11 +260,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     """Rows (doc_id, sha, node) of all docs, and nodes with head_node and head, the node and id that stay."""
     rows, nodes = _staged(docs, id_col, text_col, size, prints)
     found = components(links(docs, nodes, id_col, text_col, size, share, prints, radius, chunk))
-    labelled = nodes.join(found.select(F.col("node").alias("id"), "label"), "id", "left").select(
+    labelled = nodes.join(sorted_side(found.select(F.col("node").alias("id"), "label")), "id", "left").select(
         "node", "least", F.coalesce("label", "id").alias("label"))
     place = F.struct(F.col("least").isNull().alias("none"), "least", "node")
     heads = labelled.groupBy("label").agg(F.min(place).alias("head"))
-    return rows, labelled.join(heads, "label").select("node", F.col("head.node").alias("head_node"),
+    return rows, labelled.join(sorted_side(heads), "label").select("node", F.col("head.node").alias("head_node"),
                                                       F.col("head.least").alias("head"))
 
 
@@ -272,7 +274,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     rows, nodes = groups(docs, id_col, text_col, size, share, prints, radius, chunk)
     heads = nodes.filter("node = head_node").select("node", "head")
     # texts of one id and one set that are written differently: the least digest stays
-    stays = (rows.join(heads, "node").filter(F.col("doc_id").eqNullSafe(F.col("head")))
+    stays = (rows.join(sorted_side(heads), "node").filter(F.col("doc_id").eqNullSafe(F.col("head")))
              .groupBy("node").agg(F.min("sha").alias("sha"), F.first("head").alias("head")).select("head", "sha"))
     return _rows_of(docs, stays, F.col(id_col).cast("long"), F.col(text_col))
 
@@ -281,6 +283,6 @@ def _rows_of(docs: DataFrame, stays: DataFrame, doc_id: Column, text: Column) ->
     """One row of docs for each (head, sha)."""
     whole = docs.select(F.struct("*").alias("row"), doc_id.alias("doc_id"),
                         F.sha2(F.coalesce(text.cast("binary"), F.lit(b"")), 256).alias("text_sha"))
-    found = whole.join(stays, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("text_sha") == F.col("sha")))
+    found = whole.join(sorted_side(stays), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("text_sha") == F.col("sha")))
     order = Window.partitionBy("sha", "doc_id").orderBy(F.monotonically_increasing_id())
     return found.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("row.*")

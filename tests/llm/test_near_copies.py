@@ -6,7 +6,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from logloom.llm import near_copies
+from logloom.llm import components, near_copies
 from logloom.llm.simhash import table_masks
 
 SF = "/root/testdata/sf0.01"
@@ -137,3 +137,16 @@ def test_ids_null_and_repeated_and_nothing(spark):
     assert found.columns == docs.columns
     assert sorted(((r.doc_id, (r.text or "").lower()) for r in found.collect()), key=str) == [(1, "a b c"), (2, ""), (None, "d")]
     assert near_copies.keep_one(docs.limit(0)).count() == 0
+
+
+def test_joins_do_not_broadcast(spark):
+    """Whatever Spark may broadcast, tables of the texts stay out of the driver."""
+    sets = spark.createDataFrame([(k, np.arange(10, dtype="<u8").tobytes()) for k in range(9)], "id long, hashes binary")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 9)], "a long, b long")
+    docs = spark.createDataFrame([(1, "a b c", "x" * 64)], "doc_id long, text string, sha string")
+    frames = [near_copies.linked(pairs, sets, Fraction(4, 5)), components._large_star(pairs), components._small_star(pairs),
+              near_copies.keep_one(docs)]
+    for frame in frames:
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
