@@ -7,19 +7,24 @@ block tables find them: within the radius `blocks - radius` of the blocks are eq
 pair shares a key of one of C(blocks, radius) tables. More blocks make keys longer and tables more;
 `block_count` takes the number that costs least for the rows at hand, any number finds the same.
 
-Pairs of a key are compared bit-sliced as in `simhash`. Each text then proposes itself to its
-nearest earlier texts of the key only (the first and the last of those at the least distance), so a
-group of n texts hands on 2 n proposals and no pairs of the group. Proposals are
-linked if the exact Jaccard similarity of their sets is `share` or more, and links form groups.
+Pairs of a key are compared bit-sliced as in `simhash`; a pair counts in the first table that holds
+it. A key with up to `dense` pairs a text hands on all of them. In a denser key each text proposes
+itself to its nearest earlier texts only (the first and the last of those at the least distance), and
+the texts of its pairs are open. Pairs handed on are linked if the exact Jaccard similarity of
+their sets is `share` or more, and links form groups. Open texts of unlike groups are then compared
+again, all pairs of them, so no pair within the radius goes unchecked unless links join it already:
+a group of n alike texts hands on 2 n proposals, and pairs of unlike groups are first thinned by
+the bits of `parity`, which rule out only pairs that cannot reach the share.
 
 Joins are sort-merge joins: no table that grows with the texts passes through the driver.
 
 Skew. Equal sets are one node. A key above `chunk` nodes is cut into chunks whose pairs are work
 items of their own. Sets of proposals meet under the later node; a node that more than `salted`
-others propose themselves to is copied to as many salts.
+others propose themselves to is copied to as many salts, so that none of them is left out.
 
-What is found. Every link is exact; a pair is missed if all its fingerprints differ in more bits
-than the radius and no chain of links joins it. The tests hold it against brute force.
+What is found. Every link is exact, and groups are those of all pairs that reach the share and have a
+fingerprint within the radius; a pair is missed only if all its fingerprints differ in more bits and
+no chain of links joins it. The tests hold it against brute force.
 
 Defined results: blank and null texts have no shingles and are alike; texts shorter than a
 shingle are one shingle; of each group the row with the smallest id stays, nulls last, and of
@@ -53,7 +58,9 @@ KEY_BITS = 10
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("sha", pa.string()), ("node", pa.binary()), ("fps", pa.list_(pa.int64())),
                      ("n", pa.int64())])
-_SET = pa.schema([("node", pa.binary()), ("hashes", pa.binary())])
+_SET = pa.schema([("node", pa.binary()), ("hashes", pa.binary()), ("parity", pa.list_(pa.int64()))])
+#: Words of 64 parities that bound from below in how many shingles two sets differ.
+PARITY_WORDS = 16
 _PROPOSAL = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -84,6 +91,12 @@ def digest(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """Whether the number of hashes with each lead is odd, as signed words: sets differ in as many hashes or more as in bits."""
+    odd = np.bincount((own >> np.uint64(54)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def vote(own: np.ndarray) -> int:
     """The bits that more than half of the hashes have."""
     octets = own.view(np.uint8).reshape(-1, 8)
@@ -117,8 +130,8 @@ def _set_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in _parts(batch, 0)):
             sets = list(shingle_sets(part.column(0), size))
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()),
-                                              pa.array([s.tobytes() for s in sets], pa.binary())], schema=_SET)
+            own = [[digest(s) for s in sets], [s.tobytes() for s in sets], [parity(s) for s in sets]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(own, _SET)], schema=_SET)
 
     return run
 
@@ -135,39 +148,86 @@ def block_count(rows: int, radius: int) -> int:
     return min((b for b in range(radius + 1, radius + 8) if BITS * (b - radius) >= KEY_BITS * b), key=cost)
 
 
+class _Nearest:
+    """The nearest earlier rows of each row: the first and the last of those at the least distance."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values, self.far = values, np.iinfo(np.int64).max
+        self.first, self.last = np.full(len(values), self.far), np.full(len(values), self.far)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        distance = np.bitwise_count(self.values[i] ^ self.values[j]).astype(np.int64) << 40
+        np.minimum.at(self.first, j, distance | i)
+        np.minimum.at(self.last, j, distance | (len(self.values) - i))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        hit = np.flatnonzero(self.first < self.far)
+        mask = (1 << 40) - 1
+        a, b = self.first[hit] & mask, len(self.values) - (self.last[hit] & mask)
+        more = a != b
+        return np.concatenate([a, b[more]]), np.concatenate([hit, hit[more]])
+
+
+def _near(lanes: Lanes, radius: int, share: Fraction, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs within the radius, but those whose set sizes (counts) rule the share out."""
+    for item in lanes.passes():
+        i, j = lanes.near(*item, radius)
+        small, large = np.minimum(counts[i], counts[j]), np.maximum(counts[i], counts[j])
+        fits = small * share.denominator >= large * share.numerator
+        yield i[fits], j[fits]
+
+
 def nearest(values: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, radius: int, share: Fraction,
             counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(earlier, later) nodes: each row of a group with its nearest earlier rows, first and last.
 
     Rows are in groups of `sizes`; pairs whose set sizes (counts) rule the share out are passed over.
     """
-    lanes = Lanes(values, sizes)
-    far = np.iinfo(np.int64).max
-    first, last = np.full(len(values), far), np.full(len(values), far)
-    for item in lanes.passes():
-        i, j = lanes.near(*item, radius)
-        small, large = np.minimum(counts[i], counts[j]), np.maximum(counts[i], counts[j])
-        fits = small * share.denominator >= large * share.numerator
-        i, j = i[fits], j[fits]
-        distance = np.bitwise_count(values[i] ^ values[j]).astype(np.int64) << 40
-        np.minimum.at(first, j, distance | i)
-        np.minimum.at(last, j, distance | (len(values) - i))
-    hit = np.flatnonzero(first < far)
-    mask = (1 << 40) - 1
-    a, b = first[hit] & mask, len(values) - (last[hit] & mask)
-    more = a != b
-    return nodes[np.concatenate([a, b[more]])], nodes[np.concatenate([hit, hit[more]])]
-
-
-def _propose(radius: int, share: Fraction):
-    def work(block: np.ndarray) -> pa.RecordBatch:
-        change = np.flatnonzero((block[:4, 1:] != block[:4, :-1]).any(axis=0)) + 1
-        sizes = np.diff(np.concatenate([[0], change, [block.shape[1]]]))
-        a, b = nearest(np.ascontiguousarray(block[4]).view(np.uint64), block[5], sizes, radius, share, block[6])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_PROPOSAL)
+    found = _Nearest(values)
+    for i, j in _near(Lanes(values, sizes), radius, share, counts):
+        found.add(i, j)
+    a, b = found.pairs()
+    return nodes[a], nodes[b]
+
+
+def _own(values: np.ndarray, tables: np.ndarray, masks: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the table of each pair is the first of its fingerprint's tables that hold the pair."""
+    differ, table = values[i] ^ values[j], tables[j] % len(masks)
+    own = np.ones(len(i), bool)
+    for t, mask in enumerate(masks):
+        own &= (t >= table) | (differ & mask != 0)
+    return own
 
+
+def candidates(values: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, radius: int, share: Fraction, counts: np.ndarray,
+               tables: np.ndarray, masks: np.ndarray, dense: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(earlier, later, open) nodes: the pairs of groups of rows, and the nodes of pairs that are not among them.
+
+    A pair counts in the first table that holds it. Groups of up to `dense` pairs a row hand on all
+    of them; denser ones the nearest only, and the nodes of all their pairs are open.
+    """
+    lanes, found = Lanes(values, sizes), _Nearest(values)
+    many, touched = np.zeros(len(sizes), np.int64), np.zeros(len(values), bool)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for i, j in _near(lanes, radius, share, counts):
+        found.add(i, j)
+        own = _own(values, tables, masks, i, j)
+        i, j = i[own], j[own]
+        touched[i] = touched[j] = True
+        many += np.bincount(lanes.group[j], minlength=len(sizes))
+        few = (many <= dense * sizes)[lanes.group[j]]
+        held.append((i[few], j[few]))
+    full = (many > dense * sizes)[lanes.group]
+    i, j = (np.concatenate([pair[k] for pair in held] or [np.empty(0, np.int64)]) for k in (0, 1))
+    few = ~full[j]
+    a, b = found.pairs()
+    a, b = a[full[b]], b[full[b]]
+    return nodes[np.concatenate([i[few], a])], nodes[np.concatenate([j[few], b])], nodes[np.flatnonzero(full & touched)]
+
+
+def _by_item(work):
+    """work over whole work items: rows (t, key, i, j, ...) come sorted by them; a buffer is cut at the last change of item."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (t, key, i, j, fp, node, n) come sorted by work item; a buffer is cut at the last change of item."""
         held: list[np.ndarray] = []
         rows = 0
         for batch in batches:
@@ -177,32 +237,93 @@ def _propose(radius: int, share: Fraction):
                 block = np.concatenate(held, axis=1)
                 change = np.flatnonzero((block[:4, 1:] != block[:4, :-1]).any(axis=0)) + 1
                 if len(change):
-                    yield work(block[:, :change[-1]])
+                    yield from work(block[:, :change[-1]], _sizes(block[:, :change[-1]]))
                     block = block[:, change[-1]:]
                 held, rows = [block], block.shape[1]
         if rows:
-            yield work(np.concatenate(held, axis=1))
+            block = np.concatenate(held, axis=1)
+            yield from work(block, _sizes(block))
 
     return run
 
 
-def proposals(nodes: DataFrame, prints: int, radius: int, share: Fraction, blocks: int, chunk: int = 16_384) -> DataFrame:
-    """Nodes (id, fps, n) to pairs a, b that may be alike."""
-    masks = [m - (1 << 64) if m >> 63 else m for m in table_masks(blocks, radius)]
+def _sizes(block: np.ndarray) -> np.ndarray:
+    change = np.flatnonzero((block[:4, 1:] != block[:4, :-1]).any(axis=0)) + 1
+    return np.diff(np.concatenate([[0], change, [block.shape[1]]]))
+
+
+def _propose(radius: int, share: Fraction, masks: np.ndarray, dense: int):
+    """Rows (t, key, i, j, fp, node, n) to pairs, and open nodes with b null."""
+    def work(block: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b, left = candidates(np.ascontiguousarray(block[4]).view(np.uint64), block[5], sizes, radius, share, block[6],
+                                block[0], masks, dense)
+        b = pa.concat_arrays([pa.array(b), pa.nulls(len(left), pa.int64())])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, left])), b], schema=_PROPOSAL)
+
+    return _by_item(work)
+
+
+def _apart(radius: int, share: Fraction, masks: np.ndarray):
+    """Rows (t, key, i, j, fp, node, n, label, parities) to all pairs of unlike labels, each in the first table that holds it.
+
+    Left out are pairs whose parities differ in more bits than sets of that share may differ in hashes.
+    """
+    more, less = share.denominator + share.numerator, share.denominator - share.numerator
+
+    def work(block: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        values, nodes, labels = np.ascontiguousarray(block[4]).view(np.uint64), block[5], block[7]
+        for i, j in _near(Lanes(values, sizes), radius, share, block[6]):
+            unlike = labels[i] != labels[j]
+            i, j = i[unlike], j[unlike]
+            own = _own(values, block[0], masks, i, j)
+            i, j = i[own], j[own]
+            differ = np.zeros(len(i), np.int64)
+            for word in block[8:]:
+                differ += np.bitwise_count((word[i] ^ word[j]).view(np.uint64))
+            fits = differ * more <= (block[6][i] + block[6][j]) * less
+            if fits.any():
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i[fits]]), pa.array(nodes[j[fits]])], schema=_PROPOSAL)
+
+    return _by_item(work)
+
+
+def _dealt(nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Nodes (id, fps, n, further columns) to rows t, key, fp, id, n, further columns: one for each fingerprint and table."""
+    masks, more = [m - (1 << 64) if m >> 63 else m for m in table_masks(blocks, radius)], [c for c in nodes.columns if c not in ("id", "fps", "n")]
     tables = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.lit(m).cast("long").alias("mask")) for t, m in enumerate(masks)])
-    each = nodes.select("id", "n", F.posexplode("fps").alias("p", "fp")).select("id", "n", "p", "fp", F.explode(tables).alias("k"))
-    dealt = each.select((F.col("p") * len(masks) + F.col("k.t")).alias("t"), F.col("fp").bitwiseAND(F.col("k.mask")).alias("key"),
-                        "id", "fp", "n")
-    many = (dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-            .select("t", "key", F.ceil(F.col("rows") / chunk).cast("long").alias("chunks")))
+    each = nodes.select("id", "n", *more, F.posexplode("fps").alias("p", "fp")).withColumn("k", F.explode(tables))
+    return each.select((F.col("p") * len(masks) + F.col("k.t")).alias("t"), F.col("fp").bitwiseAND(F.col("k.mask")).alias("key"),
+                       "fp", "id", "n", *more)
+
+
+def _items(dealt: DataFrame, keys: DataFrame, chunk: int, *more: str) -> DataFrame:
+    """Dealt rows of keys (t, key, rows) as work items (t, key, i, j): pairs of chunks of a key."""
+    keys = keys.select("t", "key", F.ceil(F.col("rows") / chunk).cast("long").alias("chunks"))
     own = F.pmod(F.xxhash64("id"), F.col("chunks"))
-    items = (dealt.join(sorted_side(many), ["t", "key"]).withColumn("own", own)
+    items = (dealt.join(sorted_side(keys), ["t", "key"]).withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
              .filter((F.col("chunks") == 1) | (F.col("own") != F.col("other")))
-             .select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "id", "n"))
+             .select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "id", "n", *more))
     order = ["t", "key", "i", "j"]
-    return (items.repartition(*order).sortWithinPartitions(*order, "id")
-            .mapInArrow(_propose(radius, share), "a long, b long").distinct())
+    return items.repartition(*order).sortWithinPartitions(*order, "id")
+
+
+def proposals(nodes: DataFrame, radius: int, share: Fraction, blocks: int, chunk: int = 16_384, dense: int = 4) -> DataFrame:
+    """Nodes (id, fps, n) to pairs a, b that may be alike; b is null for open nodes, which have further ones."""
+    dealt = _dealt(nodes, radius, blocks)
+    many = dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    masks = np.array(table_masks(blocks, radius), np.uint64)
+    return _items(dealt, many, chunk).mapInArrow(_propose(radius, share, masks, dense), "a long, b long").distinct()
+
+
+def further(nodes: DataFrame, radius: int, share: Fraction, blocks: int, chunk: int = 16_384) -> DataFrame:
+    """Nodes (id, fps, n, label, parity) to all pairs a, b of unlike labels that may be alike."""
+    parities = [f"parity{k}" for k in range(PARITY_WORDS)]
+    dealt = _dealt(nodes.select("id", "fps", "n", "label", *[F.col("parity")[k].alias(x) for k, x in enumerate(parities)]), radius, blocks)
+    mixed = (dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"))
+             .filter("low < high"))
+    masks = np.array(table_masks(blocks, radius), np.uint64)
+    return _items(dealt, mixed, chunk, "label", *parities).mapInArrow(_apart(radius, share, masks), "a long, b long").distinct()
 
 
 def _alike(share: Fraction):
@@ -241,25 +362,41 @@ def _staged(docs: DataFrame, id_col: str, text_col: str, size: int, prints: int)
     return rows, stage(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
 
-def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int, share: Fraction, prints: int,
-          radius: int, chunk: int) -> DataFrame:
-    """Pairs a, b of node ids that are alike: found by fingerprint, checked by their sets."""
-    pairs = stage(proposals(nodes, prints, radius, share, block_count(nodes.count(), radius), chunk), "proposals")
-    wanted = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int, share: Fraction,
+          radius: int, chunk: int, dense: int = 4) -> DataFrame:
+    """Pairs a, b of node ids that are alike: found by fingerprint, checked by their sets.
+
+    They join whatever the pairs within the radius join: those that the first proposals leave out are
+    compared between open nodes that the first links leave apart.
+    """
+    blocks = block_count(nodes.count(), radius)
+    both = stage(proposals(nodes, radius, share, blocks, chunk, dense), "proposals")
+    pairs, left = both.filter("b is not null"), both.filter("b is null").select(F.col("a").alias("id"))
+    wanted = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(left).distinct()
                    .join(sorted_side(nodes.select("id", "node", "least")), "id"), "wanted")
     # only texts of wanted nodes are read again, one of each
     near = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     near = near.join(sorted_side(wanted.select("least").distinct()), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    sets = near.select("text").mapInArrow(_set_rows(size), "node binary, hashes binary")
-    sets = sets.join(sorted_side(wanted.select("id", "node")), "node").groupBy("id").agg(F.first("hashes").alias("hashes"))
-    return stage(linked(pairs, stage(sets, "sets"), share), "alike")
+    sets = near.select("text").mapInArrow(_set_rows(size), "node binary, hashes binary, parity array<long>")
+    sets = sets.join(sorted_side(wanted.select("id", "node")), "node").groupBy("id").agg(F.first("hashes").alias("hashes"), F.first("parity").alias("parity"))
+    sets = stage(sets, "sets")
+    found = stage(linked(pairs, sets, share), "alike")
+    if left.isEmpty():
+        return found
+    labels = components(found).select(F.col("node").alias("id"), "label")
+    open_nodes = nodes.select("id", "fps", "n").join(sorted_side(left), "id").join(sorted_side(sets.select("id", "parity")), "id")
+    open_nodes = open_nodes.join(sorted_side(labels), "id", "left")
+    open_nodes = stage(open_nodes.select("id", "fps", "n", F.coalesce("label", "id").alias("label"), "parity"), "open")
+    more = stage(further(open_nodes, radius, share, blocks, chunk).join(sorted_side(pairs), ["a", "b"], "left_anti"), "further")
+    return found.unionByName(stage(linked(more, sets, share), "alike"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
-           share: Fraction = Fraction(4, 5), prints: int = 2, radius: int = 10, chunk: int = 16_384) -> tuple[DataFrame, DataFrame]:
+           share: Fraction = Fraction(4, 5), prints: int = 2, radius: int = 10, chunk: int = 16_384,
+           dense: int = 4) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, sha, node) of all docs, and nodes with head_node and head, the node and id that stay."""
     rows, nodes = _staged(docs, id_col, text_col, size, prints)
-    found = components(links(docs, nodes, id_col, text_col, size, share, prints, radius, chunk))
+    found = components(links(docs, nodes, id_col, text_col, size, share, radius, chunk, dense))
     labelled = nodes.join(sorted_side(found.select(F.col("node").alias("id"), "label")), "id", "left").select(
         "node", "least", F.coalesce("label", "id").alias("label"))
     place = F.struct(F.col("least").isNull().alias("none"), "least", "node")
@@ -269,9 +406,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
-             share: Fraction = Fraction(4, 5), prints: int = 2, radius: int = 10, chunk: int = 16_384) -> DataFrame:
+             share: Fraction = Fraction(4, 5), prints: int = 2, radius: int = 10, chunk: int = 16_384,
+           dense: int = 4) -> DataFrame:
     """The rows of docs that stay, one of each group: the smallest id, nulls last."""
-    rows, nodes = groups(docs, id_col, text_col, size, share, prints, radius, chunk)
+    rows, nodes = groups(docs, id_col, text_col, size, share, prints, radius, chunk, dense)
     heads = nodes.filter("node = head_node").select("node", "head")
     # texts of one id and one set that are written differently: the least digest stays
     stays = (rows.join(sorted_side(heads), "node").filter(F.col("doc_id").eqNullSafe(F.col("head")))

@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from logloom.llm import components, near_copies
@@ -150,3 +151,44 @@ def test_joins_do_not_broadcast(spark):
         frame.collect()
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def cloud(rnd, name, texts):
+    """Texts of one base, many of them about as far from each other as a link allows."""
+    words = [f"{name}{k}" for k in range(90)]
+    for _ in range(texts):
+        copy = list(words)
+        for _ in range(rnd.randrange(1, 3)):
+            copy[rnd.randrange(len(copy))] = f"new{rnd.randrange(10**9)}"
+        yield " ".join(copy)
+
+
+@pytest.mark.parametrize("chunk, dense", [(16_384, 4), (7, 1)])
+def test_every_pair_within_the_radius_counts(spark, chunk, dense):
+    """Groups are those of all pairs, also of dense keys whose nearest texts do not link."""
+    rnd = random.Random(11)
+    texts = [t for k in range(4) for t in cloud(rnd, f"base{k}x", 70)]
+    sets = list(near_copies.shingle_sets(pa.array([t.encode() for t in texts]), 5))
+    prints = np.array([near_copies.votes(s, 2) for s in sets]).view(np.uint64)
+    group, n_links = list(range(len(texts))), 0
+    for a in range(len(texts)):
+        within = (np.bitwise_count(prints[a] ^ prints[a + 1:]) <= 10).any(axis=1)
+        for b in (a + 1 + np.flatnonzero(within)).tolist():
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                n_links += 1
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group] if old != new else group
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = found_groups(*near_copies.groups(docs, chunk=chunk, dense=dense))
+    assert n_links > 300 and 8 < len(set(group)) < len(texts)
+    assert [got[k] for k in range(len(texts))] == group
+
+
+def test_parities_never_rule_out_a_link():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 40, 3000):
+        one = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        two = np.concatenate([one[:n - n // 10], rng.integers(0, 1 << 63, n // 12, dtype=np.uint64)])
+        apart = len(np.setxor1d(one, two))
+        assert np.bitwise_count((near_copies.parity(one) ^ near_copies.parity(two)).view(np.uint64)).sum() <= apart
