@@ -14,7 +14,8 @@ the texts of its pairs are open. Pairs handed on are linked if the exact Jaccard
 their sets is `share` or more, and links form groups. Open texts of unlike groups are then compared
 again, all pairs of them, so no pair within the radius goes unchecked unless links join it already:
 a group of n alike texts hands on 2 n proposals, and pairs of unlike groups are first thinned by
-the bits of `parity`, which rule out only pairs that cannot reach the share.
+the bits of `parity`, which rule out only pairs that cannot reach the share. Open texts have block
+tables of their own, fewer and with shorter keys as long as these cost less.
 
 Joins are sort-merge joins: no table that grows with the texts passes through the driver.
 
@@ -136,16 +137,16 @@ def _set_rows(size: int):
     return run
 
 
-def block_count(rows: int, radius: int) -> int:
+def block_count(rows: int, radius: int, key_bits: int = KEY_BITS) -> int:
     """Blocks whose tables cost least: rows dealt, and 64 comparisons at a 2000th of a dealt row.
 
-    Keys have KEY_BITS or more, so up to about ten million texts the tables are the same and what
+    Keys have key_bits or more. With KEY_BITS the tables are the same up to about ten million texts and what
     is dealt grows in proportion to the texts; beyond, longer keys in more tables save comparisons.
     """
     def cost(blocks: int) -> float:
         return comb(blocks, radius) * (1 + rows / 2 ** (BITS * (blocks - radius) / blocks) / 2000)
 
-    return min((b for b in range(radius + 1, radius + 8) if BITS * (b - radius) >= KEY_BITS * b), key=cost)
+    return min((b for b in range(radius + 1, radius + 8) if BITS * (b - radius) >= key_bits * b), key=cost)
 
 
 class _Nearest:
@@ -387,7 +388,9 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: i
     open_nodes = nodes.select("id", "fps", "n").join(sorted_side(left), "id").join(sorted_side(sets.select("id", "parity")), "id")
     open_nodes = open_nodes.join(sorted_side(labels), "id", "left")
     open_nodes = stage(open_nodes.select("id", "fps", "n", F.coalesce("label", "id").alias("label"), "parity"), "open")
-    more = stage(further(open_nodes, radius, share, blocks, chunk).join(sorted_side(pairs), ["a", "b"], "left_anti"), "further")
+    # open texts are dense: every table compares most pairs of a cloud again, so few of them, with short keys, do
+    few = block_count(open_nodes.count(), radius, key_bits=1)
+    more = stage(further(open_nodes, radius, share, few, chunk).join(sorted_side(pairs), ["a", "b"], "left_anti"), "further")
     return found.unionByName(stage(linked(more, sets, share), "alike"))
 
 

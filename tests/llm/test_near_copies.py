@@ -96,6 +96,15 @@ def test_tables_find_all_pairs_within_the_radius():
                 assert any(flipped & m == 0 for m in masks)
 
 
+def test_tables_of_open_texts_find_all_pairs_within_the_radius():
+    rng = np.random.default_rng(13)
+    for rows in (100, 10 ** 5, 10 ** 8):
+        masks = table_masks(near_copies.block_count(rows, 10, key_bits=1), 10)
+        for _ in range(50):
+            flipped = sum(1 << int(b) for b in rng.choice(64, 10, replace=False))
+            assert any(flipped & m == 0 for m in masks)
+
+
 def test_nearest_earlier_rows():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
@@ -185,6 +194,18 @@ def test_every_pair_within_the_radius_counts(spark, chunk, dense):
     assert [got[k] for k in range(len(texts))] == group
 
 
+def test_open_texts_are_dealt_to_few_tables(spark, monkeypatch):
+    """The rows that a dense cloud makes when its texts are compared again: 22 a text, not 132."""
+    dealt, items = [], near_copies._items
+    monkeypatch.setattr(near_copies, "_items", lambda rows, keys, chunk, *more: (
+        dealt.append((rows.count(), bool(more))), items(rows, keys, chunk, *more))[1])
+    texts = list(cloud(random.Random(12), "dense", 150))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near_copies.keep_one(docs).collect()
+    again = [rows for rows, more in dealt if more]
+    assert len(again) == 1 and 100 < again[0] <= 22 * len(texts)
+
+
 def test_parities_never_rule_out_a_link():
     rng = np.random.default_rng(8)
     for n in (0, 1, 40, 3000):
