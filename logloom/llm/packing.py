@@ -30,16 +30,21 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.pretokens import PATTERN, Recent, cut_text, of_plain
+from logloom.llm.pretokens import PATTERN, SIGNS, Recent, cut_text, odd, of_plain
 from logloom.plans.staging import stage
 
 #: Words and other pre-tokens that a worker keeps in each of two generations.
 LED_WORDS, BARE_TOKENS = 250_000, 50_000
 DOCS_AT_ONCE = 256
+#: Characters from which on a text is not put together with others.
+LONG_TEXT = 16 << 20
+#: Words whose ids are put in place together.
+WORDS_AT_ONCE = 1 << 18
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                    ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
                    ("ids", pa.binary())])
@@ -118,6 +123,57 @@ class TokenIds:
             found = [self.word(w) if ids is None else ids for w, ids in zip(words, found)]
         return self.plain(head) + b"".join(found)
 
+    def _all_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct plain words. Words of letters are kept; their ends of signs are put on each time."""
+        new, old, letters, tokenize = self.words.new, self.words.old, self.letters, self.model.tokenize
+        space, found = letters[32], list(map(new.get, words))
+        for k, ids in enumerate(found):
+            if ids is None:
+                word = words[k]
+                stem = word.rstrip(SIGNS)
+                if not stem.isalpha():
+                    found[k] = b"".join(map(self._token, of_plain(word)))
+                    continue
+                if (ids := new.get(stem)) is None:
+                    if (ids := old.get(stem)) is None:
+                        token = space + stem if stem.isascii() else (" " + stem).encode().decode("latin-1").translate(letters)
+                        ids = array("I", [t.id for t in tokenize(token)]).tobytes()
+                    new[stem] = ids
+                found[k] = ids if len(stem) == len(word) else ids + self._token(word[len(stem):])
+        return found
+
+    def joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts on end, each as `whole` gives them, and how many each text has.
+
+        Words that repeat among the texts are looked up once.
+        """
+        plain = [not (len(t) > LONG_TEXT or self.added and self.added.search(t) or odd(t)) for t in texts]
+        cut = pc.split_pattern(pa.array([t.replace("\n", " \n") if p else "" for t, p in zip(texts, plain)], pa.string()), " ")
+        first, words = cut.offsets.to_numpy()[:-1], cut.flatten().dictionary_encode()
+        codes = words.indices.to_numpy()
+        # the first word of a text follows no space; it stands for the whole text if that is not plain
+        starts = words.dictionary.take(words.indices.take(pa.array(first))).to_pylist()
+        own = [self.plain(start) if p else self.whole(t) for t, p, start in zip(texts, plain, starts)]
+        later = np.ones(len(codes), bool)
+        later[first] = False
+        used = np.flatnonzero(np.bincount(codes[later], minlength=len(words.dictionary)))
+        self.words.turn()
+        self.bare.turn()
+        found = self._all_words(words.dictionary.take(pa.array(used)).to_numpy(zero_copy_only=False).tolist()) + own
+        place = np.zeros(len(words.dictionary) + 1, np.int32)
+        place[used] = np.arange(len(used))
+        at = place[codes]
+        at[first] = len(used) + np.arange(len(texts))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        ids = [np.empty(0, "<u4")]
+        for k in range(0, len(at), WORDS_AT_ONCE):
+            part = at[k:k + WORDS_AT_ONCE]
+            n = sizes[part]
+            ends = np.cumsum(n)
+            ids.append(flat[np.repeat(begin[part] - (ends - n), n) + np.arange(ends[-1])])
+        return np.concatenate(ids), np.add.reduceat(sizes[at], first) if texts else sizes
+
     def whole(self, text: str) -> bytes:
         """Ids of a text as the tokenizer gives them, its added tokens included."""
         if self.added and self.added.search(text):

@@ -29,14 +29,15 @@ def cut_text(text: str) -> tuple[str, list[str], bool]:
     Plain words follow a space, or start with the line end they follow; the others keep blanks
     of their own and follow a space.
     """
-    if _odd(text):
+    if odd(text):
         head, *words = CUT.split(text)
         return head, words, False
     head, *words = text.replace("\n", " \n").split(" ")
     return head, words, True
 
 
-def _odd(text: str) -> bool:
+def odd(text: str) -> bool:
+    """Whether blanks meet or stand at an end, so that the words of the text are not plain."""
     if RARE_BLANK.search(text):
         return bool(ODD_BLANK.search(text))
     return text[:1].isspace() or text[-1:].isspace() or any(pair in text for pair in ODD_PAIRS)

@@ -20,7 +20,7 @@ offsets and the fixed width find any id without reading others; unpacking gather
 with numpy.
 
 Writing. A range shuffle over (doc_id, row) sorts the documents; a hot or null id is split by its
-row, so ranges stay even. Each task encodes its range once and makes segments of about
+row, so ranges stay even. Each task encodes its range once, a few MB of text together, and makes segments of about
 `segment_ids` ids (a document is never cut), counting from its own zero. Files are written by
 Spark's writer, so they land in any store Spark can write, and lost tasks run again.
 
@@ -43,12 +43,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.packing import TokenIds
+from logloom.llm.word_hashes import byte_ends
 from logloom.plans.staging import shared_folder
 
 MAGIC = b"TKB1"
 _PLACE, _HEAD = struct.Struct("<IQ"), struct.Struct("<B3xIQII")
 BLOCK = 4096
-DOCS_AT_ONCE = 256
+#: Text bytes that are encoded together.
+PASS_BYTES = 4 << 20
 #: Ranges whose totals are added up together.
 _RUN = 4096
 _ROWS = pa.schema([("kind", pa.string()), ("value", pa.binary())])
@@ -143,31 +145,41 @@ def segments(data: bytes) -> Iterator[Segment]:
         at = found.end + 1
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about PASS_BYTES of text, at least one row each."""
+    ends, at = byte_ends(batch.column(1)), 0
+    while at < batch.num_rows:
+        base = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, base + PASS_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _make(path: str, end_id: int, width: int, segment_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token_ids, end = TokenIds.of(path), np.array([end_id], "<u4").tobytes()
+        token_ids = TokenIds.of(path)
         part, before, held = TaskContext.get().partitionId(), 0, 0
         docs: list = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
 
         def row(kind: str, value: bytes) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([value], pa.binary())], schema=_ROWS)
 
         def segment() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            return row("ids", segment_bytes(part, before, docs, [len(p) // 4 for p in parts], ids, width))
+            return row("ids", segment_bytes(part, before, docs, [len(p) for p in parts], np.concatenate(parts), width))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                rows = batch.slice(at, DOCS_AT_ONCE)
-                for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                    ids = token_ids.whole(text or "") + end
-                    n = len(ids) // 4
+            for rows in _parts(batch):
+                ids, counts = token_ids.joined([text or "" for text in rows.column(1).to_pylist()])
+                stops = np.cumsum(counts)
+                ids, stops = np.insert(ids, stops, end_id), stops + np.arange(1, len(stops) + 1)
+                for doc_id, start, stop in zip(rows.column(0).to_pylist(), [0, *stops.tolist()], stops.tolist()):
+                    n = stop - start
                     if held and held + n > segment_ids:
                         yield segment()
                         before, held, docs, parts = before + held, 0, [], []
                     docs.append(doc_id)
-                    parts.append(ids)
+                    parts.append(ids[start:stop])
                     held += n
         if held:
             yield segment()
@@ -182,7 +194,8 @@ def _read(with_ids: bool):
         for batch in batches:
             for content in batch.column(0):
                 for found in segments(content.as_buffer()):
-                    own = [found.document(k).astype("<u4").tobytes() for k in range(found.n_docs)]
+                    ids = found.ids(0, found.n_ids).astype("<u4", copy=False)
+                    own = [ids[a:a + n].tobytes() for a, n in zip(found.firsts.tolist(), found.lengths.tolist())]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(found.doc_ids, mask=found.nulls), pa.array(np.full(found.n_docs, found.part)),
                          pa.array(found.start + found.firsts),
