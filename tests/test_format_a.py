@@ -53,6 +53,27 @@ def test_tools(spark):
     ).collect()} == {"path"}
 
 
+def test_many_lines_without_a_time(spark):
+    """Each gap from 1970 to the next time is 56 years; a hundred times sixty of them is beyond BIGINT."""
+    lines = []
+    for n in range(120):
+        line = json.loads(a("assistant" if n % 4 else "user", "10:00:00", "x", n, spent=usage(10**12, 1)))
+        if n % 2 == 0:
+            del line["timestamp"]
+        lines.append(json.dumps(line))
+    row, *_ = stats_of(spark, lines)
+    assert 92_233_720_368_547_758 < row.inactive_us == row.span_us
+    assert (row.inactive_time_percent, row.active_time_ratio) == (100.0, 0.0)
+    assert row.total_input_tokens == 120 * 10**12 and row.avg_tokens_per_second is None
+
+
+def test_large_counts_make_exact_rates(spark):
+    lines = [a("user", "10:00:00", "go", 1), a("assistant", "10:00:05", "x", 2, spent=usage(10**14, 5 * 10**13))]
+    row, *_ = stats_of(spark, lines)
+    assert (row.read_tokens_per_second, row.output_tokens_per_second) == (2e13, 1e13)
+    assert row.avg_tokens_per_second == 3e13 and row.model_time_percent == 100.0
+
+
 def test_metadata_falls_back_to_the_folder(spark):
     _, messages, _ = stats_of(spark, TOOLS)
     row = st.session_metadata(messages).first()
