@@ -1,6 +1,6 @@
 """Similarity clusters of vectors.
 
-Leaders are elected by rounds of an exact similarity join that hands on no pairs. `best_match`
+Leaders are elected in rounds (`similarity.fixed_leaders`), no pairs are handed on. `best_match`
 compares vectors with a bounded block of targets at a time.
 """
 

@@ -14,6 +14,7 @@ from logloom.operators.coverage import MINUTE, merge_intervals, union_measure
 from logloom.operators.pairing import pair_tools
 from logloom.operators.ranks import summarize
 from logloom.operators.segments import with_carried, with_neighbours
+from logloom.operators import similarity as sim
 from logloom.operators.similarity import similarity_links
 from logloom.operators.sessions import (
     BrowseFilters,
@@ -218,3 +219,50 @@ def test_similarity_links(spark, chunk):
     got = {r.id: (r.class_id, r.n_links) for r in similarity_links(df, 0.6, chunk).collect()}
     assert got == {**want, "900": ("900", 0), "901": ("901", 0)}
     assert similarity_links(df.limit(0), 0.6).count() == 0
+
+
+def test_vectors_are_not_written_for_each_cell_they_visit(spark, monkeypatch):
+    written = []
+
+    def stage(df, name, real=sim.stage):
+        out = real(df, name)
+        one = {"vectors": F.size("ids"), "vector": F.lit(1)}
+        written.extend(out.agg(F.sum(n)).first()[0] or 0 for c, n in one.items() if c in out.columns)
+        return out
+
+    monkeypatch.setattr(sim, "stage", stage)
+    rows = np.random.default_rng(4).normal(size=(200, 8))
+    df = spark.createDataFrame([(f"{i:03d}", r.tolist()) for i, r in enumerate(rows)], "id string, vector array<double>")
+    sims = unit(rows) @ unit(rows).T
+    assert {r.id: r.n_links for r in similarity_links(df, 0.1, 10).collect()} == {
+        f"{i:03d}": int((sims[i] >= 0.1).sum()) - 1 for i in range(200)}
+    assert sum(written) <= 2 * 200
+    written.clear()
+    assert clu.leader_clusters(df, 0.1, block=10).count() == 200
+    assert sum(written) <= 4 * 200
+
+
+def test_marks_of_two_classes_and_many_rounds(spark, monkeypatch):
+    """Unlike vectors with one mark keep their classes; rounds of few rows elect the same leaders; signed zeros are equal."""
+    rng = np.random.default_rng(5)
+    rows = np.round(rng.normal(size=(60, 3)), 1).astype("float32")
+    rows[5], rows[6], rows[50] = [0.0, 1.0, 0.0], [-0.0, 1.0, -0.0], rows[4]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)] + [(90, None), (91, [])],
+                               "id bigint, vector array<float>")
+    u = unit(rows.astype("float64"))
+    sims = u @ u.T
+    first = [next(j for j in range(60) if (rows[j] == rows[i]).all()) for i in range(60)]
+    want = {i: (first[i], int((sims[i] >= 0.8).sum()) - 1) for i in range(60)}
+    leaders = []
+    for i in range(60):
+        if all(sims[i, j] < 0.8 for j in leaders):
+            leaders.append(i)
+    led = {i: i if i in leaders else max(leaders, key=lambda j: (sims[i, j] if j < i else -2, -j)) for i in range(60)}
+    monkeypatch.setattr(sim, "PART", 64)
+    for mark in (sim._mark, lambda vector: F.lit(1).cast("bigint")):
+        monkeypatch.setattr(sim, "_mark", mark)
+        assert {r.id: (r.class_id, r.n_links) for r in similarity_links(df, 0.8, 7).collect()} == {
+            **want, 90: (90, 0), 91: (91, 0)}
+    monkeypatch.setattr(sim, "ELECTED", 9)
+    found = sim.fixed_leaders(df, 0.8, 7).collect()
+    assert {r.id: r.leader for r in found} == {**led, 90: 90, 91: 91} and len(found) == 62
